@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import minhash_dedup, packing, token_counts, toxicity
+from . import decontaminate, minhash_dedup, packing, token_counts, toxicity
 from .shared import load
 
 
@@ -18,6 +18,10 @@ def op3_prefix_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.prefix_token_counts(load(spark, sf_dir, "documents"))
 
 
+def op4_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.contaminated(load(spark, sf_dir, "documents"), load(spark, sf_dir, "benchmark"))
+
+
 def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(load(spark, sf_dir, "documents"))
 
@@ -29,6 +33,7 @@ def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_minhash_near_dedup": op1_minhash_near_dedup,
     "op3_prefix_token_counts": op3_prefix_token_counts,
+    "op4_benchmark_decontamination": op4_benchmark_decontamination,
     "op6_packing": op6_packing,
     "op8_toxicity": op8_toxicity,
 }

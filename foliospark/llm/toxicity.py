@@ -31,7 +31,7 @@ from .arrowtext import column_bytes, fold_case, mix, slices, span_hashes, word_s
 from .shared import output_schema, written
 
 MAX_LABELLED = 20_000
-THRESHOLD = math.log(4)  # four times as likely toxic as not
+THRESHOLD = 4.0  # log-odds; chosen on labelled documents held out from the fit
 LEET = {"0": "o", "1": "il", "3": "e", "4": "a", "5": "s", "6": "g", "7": "t", "8": "b", "9": "g", "@": "a", "$": "s", "!": "i", "|": "il", "+": "t", "(": "c", "{": "c", "€": "e", "£": "l"}
 SEPARATORS = set(".-_*~^'`,+|/\\")
 SIZE = 29  # boundary, a-z, other letters, unknown
