@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, minhash_dedup, packing, token_counts, toxicity
+from . import decontaminate, line_dedup, minhash_dedup, packing, token_counts, toxicity
 from .shared import load
 
 
@@ -26,6 +26,10 @@ def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(load(spark, sf_dir, "documents"))
 
 
+def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.duplicate_lines(load(spark, sf_dir, "documents"))
+
+
 def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.toxic_documents(load(spark, sf_dir, "documents"), load(spark, sf_dir, "labels"))
 
@@ -35,6 +39,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_prefix_token_counts": op3_prefix_token_counts,
     "op4_benchmark_decontamination": op4_benchmark_decontamination,
     "op6_packing": op6_packing,
+    "op7_line_dedup": op7_line_dedup,
     "op8_toxicity": op8_toxicity,
 }
 
