@@ -60,3 +60,12 @@ def components(edges: DataFrame, a: str = "a", b: str = "b", rounds: int = 60) -
     labels = e.groupBy("u").agg(F.min("v").alias("label")).select(F.col("u").alias("node"), "label")
     roots = labels.select(F.col("label").alias("node")).distinct().select("node", F.col("node").alias("label"))
     return labels.unionByName(roots)
+
+
+def one_text_per_id(docs: DataFrame) -> DataFrame:
+    """(doc_id, text) with each doc_id once: of rows that repeat a doc_id the least text counts; rows
+    without doc_id or text are left out.  Only the texts of repeated ids are shuffled."""
+    src = docs.where("doc_id is not null").select("doc_id", F.col("text").cast("string").alias("text")).where("text is not null")
+    twice = written(src.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").select("doc_id"), "repeated")
+    least = src.join(twice, "doc_id", "left_semi").groupBy("doc_id").agg(F.min("text").alias("text"))
+    return src.join(twice, "doc_id", "left_anti").unionByName(least)
