@@ -40,14 +40,12 @@ PARTS = 8
 def _lines(cp: np.ndarray, begins: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Trimmed [start, end), document and number within it of every line; an empty one has start == end."""
     n = len(cp)
+    full = np.flatnonzero(np.diff(begins) > 0)  # an empty document begins where the next one does
+    heads = begins[:-1][full]
     cut = np.flatnonzero(cp == 10)
-    starts = np.sort(np.concatenate([begins[:-1], cut + 1]))
-    doc = np.searchsorted(begins[:-1], starts, "right") - 1
-    # a break that ends a document still opens a last, empty line; it sorts with the next one's start
-    at_end = np.isin(cut + 1, begins[1:])
-    if at_end.any():
-        starts = np.sort(np.concatenate([begins[:-1], cut[~at_end] + 1]))
-        doc = np.searchsorted(begins[:-1], starts, "right") - 1
+    cut = cut[~np.isin(cut + 1, begins[1:])]  # a break that ends a document opens a last, empty line: nothing to compare
+    starts = np.sort(np.concatenate([heads, cut + 1]))
+    doc = full[np.searchsorted(heads, starts, "right") - 1]
     ends = np.append(starts[1:], n)
     solid = np.flatnonzero((cp > 32) & (cp != 0xA0))
     if not len(solid):

@@ -44,9 +44,9 @@ _PLAIN = re.compile(r"(?:[a-z]{1,12}|[A-Z][a-z]{1,14}|\d{1,8}|\d{4}-\d\d-\d\d.*|
 
 _QUOTED = r'"(?:[^"\\\n]|\\.)*"|\'(?:[^\'\\\n]|\\.)*\'|`[^`]*`'
 _NAME = r"[A-Za-z_$][\w$]*(?:(?:\.|->|::|-)[A-Za-z_$][\w$]*|\[(?:\"[^\"\n]*\"|'[^'\n]*')\])*"
-_ATOM = rf"(?:[rbufRBUF]{{0,2}}(?:{_QUOTED})|{_NAME}(?![\w(]))"
+_ATOM = rf"(?:[rbufRBUF]{{0,2}}(?:{_QUOTED})|{_NAME}(?![\w(/@:~%=-]))"
 _ASSIGN = re.compile(
-    rf"""(?P<name>(?:{_NAME})|"[^"\n=:]{{1,80}}"|'[^'\n=:]{{1,80}}')(?:\s{{0,8}}:\s{{0,4}}[A-Za-z_][\w\[\]<>.]*)?[ \t]*(?P<op>:=|=>|=(?!=)|:(?![:/]))[ \t]*"""
+    rf"""(?P<name>(?:{_NAME})|"[^"\n=:]{{1,80}}"|'[^'\n=:]{{1,80}}')(?:\s{{0,8}}:\s{{0,4}}[A-Za-z_][\w\[\]<>.]*)?[ \t]*(?P<op>:=|=>|=(?!=)|:(?![:/]))[ \t]*(?P<scheme>(?:[Bb]earer|[Bb]asic)[ \t]+)?"""
     rf"""(?P<expr>{_ATOM}(?:\s*(?:\+|\.\.|<>|\|\|)\s*{_ATOM})*|[^\s"'`,;&<>#){{}}\[\]]+)"""
     rf"""|(?:export|set|setenv|ENV|--)[ \t]?(?P<name2>[A-Za-z_][\w-]*)[ \t]+(?P<expr2>{_QUOTED}|[^\s"'`,;&<>-][^\s"'`,;&<>]*)"""
     rf"""|<(?P<name3>[A-Za-z_][\w.-]*)>(?P<expr3>[^<>\n]+)</(?P=name3)>"""
@@ -56,6 +56,8 @@ _ASSIGN = re.compile(
 _PARTS = re.compile(rf"[rbufRBUF]{{0,2}}({_QUOTED})|({_NAME})")
 _HOLE = re.compile(r"\$?\{(\w+)\}|\$(\w+)")
 _CAMEL = re.compile(r"(?<=[a-z0-9])(?=[A-Z])|(?<=[A-Z])(?=[A-Z][a-z])|[^A-Za-z0-9]+")
+_IDENTIFIER = re.compile(r"[A-Za-z_.]+\Z")  # unquoted, it is a name and no literal
+_IN_URL = re.compile(r"://[^\s:/@]+:([^\s:/@]+)@")
 _ESCAPE = re.compile(r"\\(.)", re.S)
 # RE2, over whole Arrow columns: a text in which nothing of this occurs has no pair that could score
 _HINT = r"(?i)(?:pass|pwd|secret|key|token|credential|bearer|auth|connection.?string|salt|cookie|session|cert|pin)[\w\"'\]. \t\-$]{0,80}(?:=|:|>|[ \t])|://[^\s:/@]+:[^\s:/@]+@"
@@ -139,12 +141,15 @@ def pairs(text: str) -> list[tuple[int, str, str, float]]:
                 line = text[text.rfind("\n", 0, m.start()) + 1 : m.start()].strip()
                 end = text.find("\n", m.end())
                 after = text[m.end() : end if end >= 0 else len(text)].strip()
-                sure = line in ("", "-", "export", "set", "local", "readonly") and after[:1] in ("", "#", ";") and (m["op"] != ":" or " " not in expr)
+                alone = line in ("", "-", "export", "set", "local", "readonly") and after[:1] in ("", "#", ";")
+                sure = bool(m["scheme"]) or alone and not _IDENTIFIER.match(expr)
         else:
             value = _literal(expr) if expr[0] in "\"'`" else expr.strip()
         if sure and value:
             known[name] = (value, weight)
             out.append((m.start(kind), name, value, weight))
+            for c in _IN_URL.finditer(value) if kind != "expr5" else ():
+                out.append((m.start(kind), "password", c[1], NAMES["password"]))
     return out
 
 

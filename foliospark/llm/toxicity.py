@@ -1,7 +1,7 @@
 """Toxic documents, after undoing obfuscated spelling.
 
 1. A character trigram model is counted over the words of the whole corpus.
-2. Tokens that may hide a word (a digit or symbol between letters, a letter three times
+2. Tokens that may hide a word (a digit or symbol between letters or in place of one, a letter three times
    in a row, letters spaced out one by one) become lattices: a leetspeak sign may stand for its
    letters, a separator for nothing, a run for one or two letters, a gap for nothing or
    itself.  Viterbi decoding finds the likeliest reading under the model.  A token
@@ -181,6 +181,10 @@ class Restorer:
         leet[[ord(c) for c in "013456789@$!|+("]] = True
         head = leet[raw[starts]] & (last >= starts)
         bad |= head
+        tail = leet.copy()
+        tail[[ord(c) for c in "!|+("]] = False  # after a word these are punctuation
+        alone = raw[np.minimum(opened + 1, n - 1)] != raw[opened]  # a run of one sign is decoration
+        bad[inside(opened[tail[raw[opened]] & alone])] = True
         triple = np.flatnonzero(letter[2:] & (low[2:] == low[1:-1]) & (low[1:-1] == low[:-2]) & (raw[2:] < 0x80))
         t = inside(triple)
         bad[t[triple + 2 < ends[t]]] = True
