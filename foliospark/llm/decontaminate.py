@@ -114,7 +114,7 @@ def _vocabulary_counter(vocabulary: np.ndarray):
 def _items(benchmark: DataFrame):
     rows = benchmark.where("item_id is not null and text is not null").select("item_id", F.col("text").cast("string").alias("text")).distinct().toArrow()
     words, _, _, first, _ = hashed_words(rows.column("text"))
-    return rows.column("item_id").to_pylist(), [words[a:b] for a, b in zip(first[:-1], first[1:])]
+    return pa.concat_arrays(rows.column("item_id").chunks or [pa.array([], rows.schema.field("item_id").type)]), [words[a:b] for a, b in zip(first[:-1], first[1:])]
 
 
 def rare_seeds(docs: DataFrame, words: list[np.ndarray], chance: float = CHANCE) -> Seeds:
@@ -139,7 +139,7 @@ def rare_seeds(docs: DataFrame, words: list[np.ndarray], chance: float = CHANCE)
     return Seeds(h[rare], item[rare], size, words)
 
 
-def _scanner(seeds: Seeds, ids: list, threshold: float, mark: bool):
+def _scanner(seeds: Seeds, ids: pa.Array, threshold: float, mark: bool):
     def run(batches):
         for batch in batches:
             for part in slices(batch, "text"):
@@ -165,7 +165,7 @@ def _scanner(seeds: Seeds, ids: list, threshold: float, mark: bool):
                 else:
                     rows = pa.array([f[0] for f in found], pa.int64())
                     yield pa.RecordBatch.from_arrays(
-                        [part.column(0).take(rows), pa.array([ids[f[1]] for f in found]), *(pa.array([f[k] for f in found], kind) for k, kind in ((2, pa.float64()), (3, pa.int64()), (4, pa.int64())))],
+                        [part.column(0).take(rows), ids.take(pa.array([f[1] for f in found], pa.int64())), *(pa.array([f[k] for f in found], kind) for k, kind in ((2, pa.float64()), (3, pa.int64()), (4, pa.int64())))],
                         names=["doc_id", "item_id", "score", "start_word", "end_word"],
                     )
 
@@ -213,7 +213,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, threshold: float = THRES
         hits = src.mapInArrow(_scanner(seeds, ids, threshold, False), kind)
     else:
         spark = docs.sparkSession
-        table = spark.createDataFrame(pa.table({"gram": seeds.hashes.view(np.int64), "item_id": pa.array([ids[i] for i in seeds.items])}))
+        table = spark.createDataFrame(pa.table({"gram": seeds.hashes.view(np.int64), "item_id": ids.take(pa.array(seeds.items, pa.int64()))}))
         meet = src.mapInArrow(_gram_emitter(seeds.n), output_schema(src, ["doc_id"], "pos bigint, gram bigint")).join(table, "gram")
         meet = written(meet.groupBy("doc_id", "item_id").agg(F.collect_set("pos").alias("pos")), "seeds")
         items = benchmark.where("item_id is not null").select("item_id", F.col("text").cast("string").alias("item_text")).dropDuplicates(["item_id"])

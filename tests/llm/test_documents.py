@@ -172,6 +172,15 @@ def test_contamination_against_every_pair(spark):
     assert decontaminate.contaminated(src.limit(0), bench).count() == 0 and decontaminate.drop_contaminated(src, bench.limit(0)).count() == src.count()
 
 
+def test_slices_without_a_match_have_the_same_schema():
+    ids = pa.array([7], pa.int64())
+    words = arrowtext.hashed_words(pa.array(["one two three four"]))[0]
+    seeds = decontaminate.Seeds(arrowtext.gram_hashes(words, np.array([0, 4]), 3)[0], np.zeros(2, np.int64), 3, [words])
+    batch = lambda t: pa.RecordBatch.from_arrays([pa.array([1]), pa.array([t])], names=["doc_id", "text"])
+    out = list(decontaminate._scanner(seeds, ids, 0.5, False)([batch("nothing of it here"), batch("one two three four")]))
+    assert out[0].schema == out[1].schema and [b.num_rows for b in out] == [0, 1] and out[1].column(1).to_pylist() == [7]
+
+
 def test_decoding():
     rng = random.Random(2)
     column = pa.array([" ".join(rng.choice(["stupid", "idiot", "people", "letter", "hello", "good", "class", "assist"]) for _ in range(200)) for _ in range(20)])
