@@ -1,6 +1,6 @@
 """Passages that repeat, from a sparse suffix array made by a common-prefix-aware distributed merge sort.
 
-1. Anchors.  Every window of `WINDOW` consecutive word 4-grams gives its least hash as an
+1. Anchors.  Every window of `WINDOW` consecutive word 4-grams gives its least hash (the first of equal ones) as an
    anchor, so equal passages have equal anchors, and every passage of at least
    ``min_words`` words holds an anchor with `PREFIX` words of it behind it.  Only suffixes that
    begin at anchors are sorted, about 2 in `WINDOW` + 1 of all.
@@ -13,15 +13,16 @@
    length it shares with the suffix that beat it: of two candidates the one that shares
    more with the last winner comes first, and only where both share the same is
    anything compared, and then from that length on.  Prefixes known to be equal are never read again.
-5. Suffixes of one key repeat.  Each points to the earliest in the order (doc_id, word);
-   neighbours with the same source and offset make chains.  Chains are extended
-   to both sides, word by word, up to `min_words` words; what has `min_words` in all is a
-   repeated passage.  (A longer stretch holds further anchors, so its chain is longer.)
+5. Suffixes of one key may repeat.  Each carries two bytes of the hash of every word beside its key that the
+   passages of `min_words` words which gave the anchor hold.  Each of these passages points to the earliest
+   equal one of the key's suffixes in the order (doc_id, word), so every passage of `min_words` words that
+   an earlier place has is found, whatever other places share of it.
+6. Passages that overlap and have the same source and offset make chains: repeated passages.  Chains are
+   extended to both sides, word by word, up to `min_words` words, where a part of a passage has an earlier source.
 
 Defined cases: rows without doc_id, and null or empty texts, repeat nothing.  Of rows that repeat a doc_id the
 least text counts.  A passage may repeat within one document; its first occurrence is the source.
-A passage whose anchors' earliest occurrences match it over fewer than `min_words` words each is
-not reported, even if a later occurrence matches further.  Other columns are not read.
+Other columns are not read.
 """
 
 from __future__ import annotations
@@ -31,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .arrowtext import U64, gram_hashes, hashed_words, mix, slices, span_hashes
+from .arrowtext import U64, gram_hashes, hashed_words, mix, powers, slices, span_hashes
 from .shared import one_text_per_id, written
 
 MIN_WORDS = 50
@@ -46,32 +47,35 @@ def window(min_words: int) -> int:
     return min_words - PREFIX + 1
 
 
-def _running(x: np.ndarray, w: int, of) -> np.ndarray:
-    """Minima or maxima of all windows of w elements, by doubling."""
-    size = 1
+def _first_least(x: np.ndarray, w: int) -> np.ndarray:
+    """Place of the first least element of all windows of w elements, by doubling."""
+    size, at = 1, np.arange(len(x))
     while size < w:
         step = min(size, w - size)
-        x = of(x[:-step], x[step:])
+        a, b = at[:-step], at[step:]
+        at = np.where(x[a] <= x[b], a, b)
         size += step
-    return x
+    return at
 
 
-def anchors(words: np.ndarray, first: np.ndarray, min_words: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Positions of anchors with PREFIX words behind them, document of each, hash of the 4-gram there."""
+def anchors(words: np.ndarray, first: np.ndarray, min_words: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Positions of anchors with PREFIX words behind them, document of each, hash of the 4-gram there, least and greatest number of
+    words that a passage of min_words words which gave the anchor has before it."""
     w = window(min_words)
     grams, at, starts = gram_hashes(words, first, GRAM)
     if len(grams) < w:
         z = np.empty(0, np.int64)
-        return z, z, np.empty(0, U64)
-    least = _running(grams, w, np.minimum)
-    # the greatest of the minima of all windows around a gram equals it if one of them chooses it (or a gram equal to it)
-    wall = np.zeros(w - 1, U64)
-    chosen = _running(np.concatenate([wall, least, wall]), w, np.maximum) == grams
-    pick = np.flatnonzero(chosen)
+        return z, z, np.empty(0, U64), z, z
+    # of windows in order the places never go back, so those of one anchor are neighbours
+    place = _first_least(grams, w)
+    begin = np.flatnonzero(np.diff(place, prepend=-1))
+    pick, end = place[begin], np.append(begin[1:], len(place)) - 1
     doc = np.searchsorted(starts, pick, "right") - 1
     pos = at[pick]
-    fits = pos + PREFIX <= first[doc + 1]
-    return pos[fits], doc[fits], grams[pick[fits]]
+    most = np.minimum(pick - begin, pos - first[doc])
+    least = np.maximum(pick - end, min_words - (first[doc + 1] - pos))
+    fits = least <= most
+    return pos[fits], doc[fits], grams[pick[fits]], least[fits], most[fits]
 
 
 def suffix_keys(words: np.ndarray, pos: np.ndarray, grams: np.ndarray) -> np.ndarray:
@@ -85,6 +89,44 @@ def suffix_keys(words: np.ndarray, pos: np.ndarray, grams: np.ndarray) -> np.nda
     return key
 
 
+def suffix_sides(words: np.ndarray, pos: np.ndarray, least: np.ndarray, most: np.ndarray, min_words: int) -> np.ndarray:
+    """Codes of the min_words - PREFIX words before each key and behind it; 0 for those that none of the anchor's passages holds."""
+    reach = min_words - PREFIX
+    step = np.arange(2 * reach)
+    held = (step >= reach - most[:, None]) & (step < 2 * reach - least[:, None])
+    at = np.where(held, pos[:, None] + np.where(step < reach, step - reach, step - reach + PREFIX), 0)
+    return np.where(held, (words >> U64(17)).astype(np.uint16)[at], np.uint16(0))
+
+
+def earliest_passages(group: np.ndarray, least: np.ndarray, most: np.ndarray, sides: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(suffix, source, least, greatest number of words before the key): runs of passages over a suffix's key for which the
+    source is the earliest suffix of the group with an equal passage.  Suffixes are sorted by group, then place."""
+    reach = sides.shape[1] // 2
+    p, inv = powers(2 * reach + 1)
+    total = np.zeros((len(group), 2 * reach + 1), U64)
+    np.cumsum((sides.astype(U64) + U64(1)) * p[: 2 * reach], axis=1, out=total[:, 1:])
+    source, since = np.full(len(group), -1, np.int64), np.zeros(len(group), np.int64)
+    out = [[], [], [], []]
+    for before in range(reach + 2):
+        now = np.full(len(group), -1, np.int64)
+        row = np.flatnonzero((least <= before) & (before <= most))
+        if len(row):
+            lo = reach - before
+            h = (total[row, lo + reach] - total[row, lo]) * inv[lo]
+            order = np.lexsort((h, group[row]))  # stable: equal passages stay in the order of their places
+            row, h = row[order], h[order]
+            new = np.ones(len(row), bool)
+            new[1:] = (group[row[1:]] != group[row[:-1]]) | (h[1:] != h[:-1])
+            head = row[np.maximum.accumulate(np.where(new, np.arange(len(row)), 0))]
+            now[row[~new]] = head[~new]
+        changed = now != source
+        ended = np.flatnonzero(changed & (source >= 0))
+        for o, v in zip(out, (ended, source[ended], since[ended], np.full(len(ended), before - 1))):
+            o.append(v)
+        source, since = now, np.where(changed, before, since)
+    return tuple(np.concatenate(o) for o in out)
+
+
 def front_code(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(shared length with the row before, remaining bytes of all rows) of sorted rows."""
     shared = np.zeros(len(keys), np.uint8)
@@ -123,30 +165,30 @@ def _sorted_rows(keys: np.ndarray, doc: np.ndarray, pos: np.ndarray) -> np.ndarr
 
 def _run_maker(min_words: int, ranges: int):
     def cut(parts):
-        keys, doc, pos = (np.concatenate([p[k] for p in parts]) for k in range(3))
+        keys, doc, pos, reach, sides = (np.concatenate([p[k] for p in parts]) for k in range(5))
         order = _sorted_rows(keys, doc, pos)
-        keys, doc, pos = keys[order], doc[order], pos[order]
+        keys, doc, pos, reach = keys[order], doc[order], pos[order], reach[order]
         lead = keys[:, 0].astype(np.int64) << 8 | keys[:, 1]
         part = lead * ranges >> 16
         at = np.searchsorted(part, np.arange(ranges + 1))
         rows = [k for k in range(ranges) if at[k] < at[k + 1]]
-        out = [[], [], [], []]
+        out = [[], [], [], [], [], []]
         for k in rows:
             s = slice(at[k], at[k + 1])
             shared, rest = front_code(keys[s])
-            for o, v in zip(out, (shared.tobytes(), rest.tobytes(), doc[s].astype(np.int64).tobytes(), pos[s].astype(np.int32).tobytes())):
+            for o, v in zip(out, (shared.tobytes(), rest.tobytes(), doc[s].astype(np.int64).tobytes(), pos[s].astype(np.int32).tobytes(), reach[s].tobytes(), sides[order[s]].tobytes())):
                 o.append(v)
-        return pa.RecordBatch.from_arrays([pa.array(rows, pa.int32()), *(pa.array(o, pa.binary()) for o in out)], names=["part", "shared", "rest", "doc", "pos"])
+        return pa.RecordBatch.from_arrays([pa.array(rows, pa.int32()), *(pa.array(o, pa.binary()) for o in out)], names=["part", "shared", "rest", "doc", "pos", "reach", "sides"])
 
     def run(batches):
         held, n = [], 0
         for batch in batches:
             for part in slices(batch, "text"):
                 words, _, _, first, _ = hashed_words(part.column(1))
-                pos, doc, grams = anchors(words, first, min_words)
+                pos, doc, grams, least, most = anchors(words, first, min_words)
                 if not len(pos):
                     continue
-                held.append((suffix_keys(words, pos, grams), np.asarray(part.column(0))[doc], pos - first[doc]))
+                held.append((suffix_keys(words, pos, grams), np.asarray(part.column(0))[doc], pos - first[doc], np.stack([least, most], 1).astype(np.int32), suffix_sides(words, pos, least, most, min_words)))
                 n += len(pos)
                 if n >= RUN:
                     yield cut(held)
@@ -219,10 +261,10 @@ class LoserTree:
             win = r
 
 
-def _merger():
+def _merger(min_words: int):
     def run(t: pa.Table) -> pa.Table:
-        keys, shared, docs, poss = [], [], [], []
-        for s, rest, d, p in zip(*(t.column(c).to_pylist() for c in ("shared", "rest", "doc", "pos"))):
+        keys, shared, docs, poss, reaches, sidess = [], [], [], [], [], []
+        for s, rest, d, p, reach, sides in zip(*([x.as_buffer() for x in t.column(c)] for c in ("shared", "rest", "doc", "pos", "reach", "sides"))):
             s = np.frombuffer(s, np.uint8)
             rows = front_decode(s, np.frombuffer(rest, np.uint8)).tobytes()
             # suffixes of a run that are all equal go through the tree as one
@@ -232,25 +274,38 @@ def _merger():
             bounds = np.append(head, len(s))
             docs.append((np.frombuffer(d, np.int64), bounds))
             poss.append(np.frombuffer(p, np.int32))
+            reaches.append(np.frombuffer(reach, np.int32).reshape(len(s), 2))
+            sidess.append(np.frombuffer(sides, np.uint16).reshape(len(s), -1))
         tree = list(LoserTree(keys, shared))
         runs, index, lcp = (np.array([x[k] for x in tree], np.int64) for k in range(3))
         group = np.cumsum(lcp < _KEY)
-        cols = [[], [], []]
+        cols = [[], [], [], [], []]
+        several = np.zeros(group[-1] + 1, np.int64)
         for r in range(len(keys)):
             mine = runs == r
+            several += np.bincount(group[mine], np.diff(docs[r][1])[index[mine]], len(several)).astype(np.int64)
+        for r in range(len(keys)):
+            mine = runs == r
+            mine[mine] = several[group[mine]] > 1
             lo, hi = docs[r][1][index[mine]], docs[r][1][index[mine] + 1]
             at = np.repeat(lo - (np.cumsum(hi - lo) - (hi - lo)), hi - lo) + np.arange((hi - lo).sum())
-            for c, v in zip(cols, (np.repeat(group[mine], hi - lo), docs[r][0][at], poss[r][at])):
+            for c, v in zip(cols, (np.repeat(group[mine], hi - lo), docs[r][0][at], poss[r][at], reaches[r][at], sidess[r][at])):
                 c.append(v)
-        group, doc, pos = (np.concatenate(c) for c in cols)
-        several = np.bincount(group)[group] > 1
-        group, doc, pos = group[several], doc[several], pos[several]
+        group, doc, pos, reach, sides = (np.concatenate(c) for c in cols)
         order = np.lexsort((pos, doc, group))
-        group, doc, pos = group[order], doc[order], pos[order]
-        source = np.searchsorted(group, group)
-        later = source < np.arange(len(group))
-        cols = [doc[later], pos[later], doc[source][later], pos[source][later]]
-        return pa.table({"doc_id": pa.array(cols[0].astype(np.int64)), "word": pa.array(cols[1].astype(np.int64)), "kept_doc_id": pa.array(cols[2].astype(np.int64)), "kept_word": pa.array(cols[3].astype(np.int64))})
+        group, doc, pos, reach = group[order], doc[order], pos[order].astype(np.int64), reach[order]
+        # whole groups at a time, so that hashes of the passages take little memory
+        cuts = [0]
+        while cuts[-1] < len(group):
+            cuts.append(int(np.searchsorted(group, group[min(cuts[-1] + 100_000, len(group)) - 1], "right")))
+        found = [[np.empty(0, np.int64)] for _ in range(5)]
+        for lo, hi in zip(cuts, cuts[1:]):
+            s = slice(lo, hi)
+            suffix, source, least, most = earliest_passages(group[s], reach[s, 0], reach[s, 1], sides[order[s]])
+            d, p = doc[s], pos[s]
+            for o, v in zip(found, (d[suffix], p[suffix] - most, p[suffix] - least + min_words, d[source], p[source] - most)):
+                o.append(v)
+        return pa.table([pa.array(np.concatenate(o)) for o in found], names=["doc_id", "a", "b", "kept_doc_id", "kept_a"])
 
     return run
 
@@ -279,14 +334,14 @@ def _common(a: bytes, b: bytes) -> int:
     return int(differ.argmax()) if differ.any() else n
 
 
-def _extender(min_words: int):
+def _extender():
     def run(batches):
         for b in batches:
             get = {c: b.column(i) for i, c in enumerate(b.schema.names)}
             more = np.array([(_common(w, x), _common(y, z)) for w, x, y, z in zip(*(get[c].to_pylist() for c in ("before", "kept_before", "after", "kept_after")))], np.int64).reshape(-1, 2)
             a, e, k = (np.asarray(get[c]) for c in ("a", "b", "kept_a"))
             t = pa.RecordBatch.from_arrays([get["doc_id"], pa.array(a - more[:, 0]), pa.array(e + more[:, 1]), get["kept_doc_id"], pa.array(k - more[:, 0])], names=["doc_id", "start_word", "end_word", "kept_doc_id", "kept_start_word"])
-            yield t.filter(pa.array(e - a + more.sum(1) >= min_words))
+            yield t
 
     return run
 
@@ -298,15 +353,15 @@ def repeated_passages(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
         raise ValueError(f"min_words must be above {PREFIX}")
     kind = docs.schema["doc_id"].dataType
     src = one_text_per_id(docs.withColumn("doc_id", F.col("doc_id").cast("bigint")))
-    ranges = min(1 << 15, max(4, 2 * docs.select("doc_id").rdd.getNumPartitions()))
-    runs = src.mapInArrow(_run_maker(min_words, ranges), "part int, shared binary, rest binary, doc binary, pos binary")
-    repeats = runs.groupBy("part").applyInArrow(_merger(), "doc_id bigint, word bigint, kept_doc_id bigint, kept_word bigint")
+    ranges = min(1 << 15, max(4, 4 * docs.select("doc_id").rdd.getNumPartitions()))
+    runs = src.mapInArrow(_run_maker(min_words, ranges), "part int, shared binary, rest binary, doc binary, pos binary, reach binary, sides binary")
+    repeats = runs.groupBy("part").applyInArrow(_merger(min_words), "doc_id bigint, a bigint, b bigint, kept_doc_id bigint, kept_a bigint")
     repeats = written(repeats, "repeats")
 
-    line = Window.partitionBy("doc_id", "kept_doc_id", "offset").orderBy("word")
-    chained = repeats.withColumn("offset", F.col("word") - F.col("kept_word"))
-    chained = chained.withColumn("new", (F.col("word") - F.lag("word").over(line) > PREFIX).cast("int")).withColumn("part", F.sum(F.coalesce("new", F.lit(0))).over(line))
-    chains = chained.groupBy("doc_id", "kept_doc_id", "offset", "part").agg(F.min("word").alias("a"), (F.max("word") + PREFIX).alias("b"))
+    line = Window.partitionBy("doc_id", "kept_doc_id", "offset").orderBy("a", "b")
+    chained = repeats.withColumn("offset", F.col("a") - F.col("kept_a"))
+    chained = chained.withColumn("new", (F.col("a") > F.max("b").over(line.rowsBetween(Window.unboundedPreceding, -1))).cast("int")).withColumn("part", F.sum(F.coalesce("new", F.lit(0))).over(line.rowsBetween(Window.unboundedPreceding, 0)))
+    chains = chained.groupBy("doc_id", "kept_doc_id", "offset", "part").agg(F.min("a").alias("a"), F.max("b").alias("b"))
     chains = chains.select(F.monotonically_increasing_id().alias("chain"), "doc_id", "a", "b", "kept_doc_id", (F.col("a") - F.col("offset")).alias("kept_a"), (F.col("b") - F.col("offset")).alias("kept_b"))
     chains = written(chains, "chains")
 
@@ -320,6 +375,6 @@ def repeated_passages(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     contexts = written(src.join(asks.hint("shuffle_hash"), "doc_id").select("text", "asks").mapInArrow(_context_reader(min_words), "chain bigint, side int, before binary, after binary"), "contexts")
     own = contexts.where("side = 0").select("chain", "before", "after")
     kept = contexts.where("side = 1").select("chain", F.col("before").alias("kept_before"), F.col("after").alias("kept_after"))
-    found = chains.join(own, "chain").join(kept, "chain").mapInArrow(_extender(min_words), "doc_id bigint, start_word bigint, end_word bigint, kept_doc_id bigint, kept_start_word bigint")
+    found = chains.join(own, "chain").join(kept, "chain").mapInArrow(_extender(), "doc_id bigint, start_word bigint, end_word bigint, kept_doc_id bigint, kept_start_word bigint")
     found = found.groupBy("doc_id", "start_word", "end_word").agg(F.min(F.struct("kept_doc_id", "kept_start_word")).alias("kept"))
     return found.select(F.col("doc_id").cast(kind).alias("doc_id"), "start_word", "end_word", F.col("kept.kept_doc_id").cast(kind).alias("kept_doc_id"), "kept.kept_start_word")

@@ -72,6 +72,22 @@ def test_repeated_passages_against_every_window(spark):
     assert got == want
 
 
+def test_passage_beyond_what_the_earliest_copy_holds(spark):
+    word = iter(range(10**6))
+    new = lambda n: [f"w{next(word)}" for _ in range(n)]
+    docs, want = [], set()
+    for k in range(60):
+        passage, at = new(50), k % 11
+        a, b, c = 3 * k, 3 * k + 1, 3 * k + 2
+        docs += [(a, new(5) + passage[at : at + 40] + new(5)), (b, new(7) + passage + new(3)), (c, new(2) + passage + new(9))]
+        want.add((c, 2, 52, b, 7))
+    early, late = new(60), new(40)
+    docs += [(900, early), (901, new(4) + early + late), (902, early + late + new(3))]
+    want |= {(901, 4, 64, 900, 0), (902, 0, 60, 900, 0), (902, 0, 100, 901, 4)}
+    docs = spark.createDataFrame([(i, " ".join(t)) for i, t in docs], "doc_id bigint, text string").repartition(3)
+    assert {tuple(r) for r in sd.repeated_passages(docs).collect()} == want
+
+
 def test_passages_of_nothing(spark):
     assert sd.repeated_passages(spark.createDataFrame([], "doc_id int, text string")).count() == 0
     with pytest.raises(ValueError):
