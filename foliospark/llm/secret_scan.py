@@ -3,11 +3,14 @@
 1. Texts are lexed for assignments: ``name = expr``, ``name := expr``, ``name: expr``, ``"name": expr``, ``name=literal``,
    ``NAME literal`` after export or set, ``<name>literal</name>``, ``--name literal``, ``name => expr``.
    An expression is a chain of quoted literals, names and template holes joined by ``+`` or ``.``; else one bare word.
+   Triple-quoted literals, YAML block scalars and private keys in PEM go over several lines, as do literals with a
+   backslash before the line break; blanks and line breaks at the ends of the first three don't count.
 2. Constants propagate: a name in an expression stands for the literal it was last given in
    the text, also within ``${name}`` and ``{name}``.
 3. A pair of name and literal scores: how sensitive the target name is, and the literal's own looks (length,
    entropy, kinds of characters, well-known shapes of keys).  Placeholders, dates, numbers, paths, addresses
-   of pages and plain words score low.  A literal that flowed from another name counts for the most sensitive of them.
+   of pages and plain words score low; so does what doesn't look random under names of much else than secrets
+   (`WEAK`).  Several lines look like the longest of them.  A literal that flowed from another name counts for the most sensitive of them.
 
 Defined cases: rows without doc_id are scanned and reported with a null; null and empty texts have no secrets;
 repeated rows are reported each.  Literals longer than 4096 characters are judged by length, entropy and shape as
@@ -31,29 +34,36 @@ from .arrowtext import slices
 from .shared import output_schema
 
 THRESHOLD = 0.5
+WEAK = 0.65  # weight of names that much else than secrets has: only literals that look random count in full
 
 NAMES = {
     "password": 0.95, "passwd": 0.95, "passphrase": 0.95, "pwd": 0.9, "secret": 0.95, "privatekey": 1.0, "apikey": 1.0, "accesskey": 0.95,
     "secretkey": 1.0, "authtoken": 1.0, "accesstoken": 1.0, "token": 0.9, "credential": 0.9, "credentials": 0.9, "bearer": 0.9, "authorization": 0.8,
-    "clientsecret": 1.0, "encryptionkey": 1.0, "signingkey": 1.0, "connectionstring": 0.7, "auth": 0.6, "pass": 0.7, "key": 0.5, "salt": 0.5, "cookie": 0.5, "session": 0.5, "cert": 0.4, "pin": 0.4,
+    "clientsecret": 1.0, "encryptionkey": 1.0, "signingkey": 1.0, "connectionstring": 0.7, "auth": 0.6, "pass": 0.7, "key": WEAK, "salt": WEAK, "cookie": WEAK, "session": WEAK, "cert": WEAK, "pin": WEAK,
 }
 _HARMLESS = re.compile(r"(?:public|pub|foreign|primary|sort|partition|cache|row|column|group|field|label|hash|file|path|url|name|id|length|size|type|count|max|min|limit|expir\w*|ttl|hint|policy)$")
 _SHAPES = re.compile(r"(?:AKIA|ASIA)[0-9A-Z]{16}\Z|gh[pousr]_[0-9A-Za-z]{36,}\Z|xox[abprs]-[0-9A-Za-z-]{10,}\Z|sk[-_](?:live|test)?[-_]?[0-9A-Za-z]{20,}\Z|AIza[0-9A-Za-z_-]{35}\Z|eyJ[\w-]+\.[\w-]+\.[\w-]*\Z|glpat-[\w-]{20,}\Z|-----BEGIN [A-Z ]*PRIVATE KEY-----")
 _EMPTY = re.compile(r"(?i)(?:x{3,}|\*{3,}|\.{3,}|_{3,}|change.?me|example|sample|dummy|placeholder|your[-_ ].*|<.*>|\$\{?\w+\}?|%\w+%|\{\{.*\}\}|none|null|nil|true|false|undefined|todo|test|foo|bar|redacted|env|string|str|int)\Z")
 _PLAIN = re.compile(r"(?:[a-z]{1,12}|[A-Z][a-z]{1,14}|\d{1,8}|\d{4}-\d\d-\d\d.*|(?:https?|ftp|file)://[^@\s]*|(?:[\w.-]*/)+[\w.-]*|[\w.+-]+@[\w-]+\.[\w.]+)\Z")
 
-_QUOTED = r'"(?:[^"\\\n]|\\.)*"|\'(?:[^\'\\\n]|\\.)*\'|`[^`]*`'
+_PEM = r"-----BEGIN [A-Z ]*PRIVATE KEY[A-Z ]*-----"
+_QUOTED = (
+    r'"""(?:[^\\]|\\[\s\S])*?"""|' + r"\'\'\'(?:[^\\]|\\[\s\S])*?\'\'\'|"
+    + rf'"\s*{_PEM}[^"]*"|' + rf"\'\s*{_PEM}[^\']*\'|"
+    + r'"(?:[^"\\\n]|\\[\s\S])*"|\'(?:[^\'\\\n]|\\[\s\S])*\'|`[^`]*`'
+)
 _NAME = r"[A-Za-z_$][\w$]*(?:(?:\.|->|::|-)[A-Za-z_$][\w$]*|\[(?:\"[^\"\n]*\"|'[^'\n]*')\])*"
 _ATOM = rf"(?:[rbufRBUF]{{0,2}}(?:{_QUOTED})|{_NAME}(?![\w(/@:~%=-]))"
 _ASSIGN = re.compile(
-    rf"""(?P<name>(?:{_NAME})|"[^"\n=:]{{1,80}}"|'[^'\n=:]{{1,80}}')(?:\s{{0,8}}:\s{{0,4}}[A-Za-z_][\w\[\]<>.]*)?[ \t]*(?P<op>:=|=>|=(?!=)|:(?![:/]))[ \t]*(?P<scheme>(?:[Bb]earer|[Bb]asic)[ \t]+)?"""
-    rf"""(?P<expr>{_ATOM}(?:\s*(?:\+|\.\.|<>|\|\|)\s*{_ATOM})*|[^\s"'`,;&<>#){{}}\[\]]+)"""
+    rf"""(?P<name>(?:{_NAME})|"[^"\n=:]{{1,80}}"|'[^'\n=:]{{1,80}}')(?:[ \t]{{0,8}}:[ \t]{{0,4}}[A-Za-z_][\w\[\]<>.]*)?[ \t]*(?P<op>:=|=>|=(?!=)|:(?![:/]))[ \t]*(?P<scheme>(?:[Bb]earer|[Bb]asic)[ \t]+)?"""
+    rf"""(?P<expr>{_ATOM}(?:\s*(?:\+|\.\.|<>|\|\|)\s*{_ATOM})*|{_PEM}(?:(?!-----)[^"'`])*-----END [A-Z ]+-----|[|>][-+\d]{{0,2}}(?=[ \t]*(?:\#[^\n]*)?\r?\n)|[^\s"'`,;&<>#){{}}\[\]]+)"""
     rf"""|(?:export|set|setenv|ENV|--)[ \t]?(?P<name2>[A-Za-z_][\w-]*)[ \t]+(?P<expr2>{_QUOTED}|[^\s"'`,;&<>-][^\s"'`,;&<>]*)"""
     rf"""|<(?P<name3>[A-Za-z_][\w.-]*)>(?P<expr3>[^<>\n]+)</(?P=name3)>"""
     rf"""|(?P<name4>[Bb]earer)[ \t]+(?P<expr4>[\w.~+/-]{{16,}}=*)"""
     rf"""|[a-z][a-z0-9+.-]*://[^\s:/@]+:(?P<expr5>[^\s:/@]+)@(?P<name5>)"""
 )
 _PARTS = re.compile(rf"[rbufRBUF]{{0,2}}({_QUOTED})|({_NAME})")
+_BLOCK = re.compile(r"[|>][-+\d]{0,2}\Z")
 _HOLE = re.compile(r"\$?\{(\w+)\}|\$(\w+)")
 _CAMEL = re.compile(r"(?<=[a-z0-9])(?=[A-Z])|(?<=[A-Z])(?=[A-Z][a-z])|[^A-Za-z0-9]+")
 _IDENTIFIER = re.compile(r"[A-Za-z_.]+\Z")  # unquoted, it is a name and no literal
@@ -84,6 +94,10 @@ def sensitivity(name: str) -> float:
 
 def plausibility(literal: str) -> float:
     """How much a literal looks like a secret."""
+    if literal.startswith("-----BEGIN "):  # certificates and public keys are no secrets
+        return 1.0 if re.search(_PEM, literal) else 0.0
+    if "\n" in literal:
+        literal = max((line.strip() for line in literal.split("\n")), key=len)
     n = len(literal)
     if n < 4 or _EMPTY.match(literal):
         return 0.0
@@ -99,8 +113,40 @@ def plausibility(literal: str) -> float:
     return min(1.0, 0.25 + 0.1 * min(kinds, 3) + 0.15 * min(entropy, 4) / 4 + 0.3 * min(n, 20) / 20)
 
 
+def _random(literal: str) -> bool:
+    """Whether letters and digits mix as in a random literal and not as in an identifier."""
+    longest = max(literal.split("\n"), key=len)
+    if len(longest) >= 16 and (longest.isdigit() or all(any(f(c) for c in longest) for f in (str.islower, str.isupper, str.isdigit))):
+        return True
+    return sum(a.isdigit() and b.isalpha() or a.isalpha() and b.isdigit() for a, b in zip(longest, longest[1:])) >= 4
+
+
+def score(weight: float, literal: str) -> float:
+    """The score of a literal under a name of that weight."""
+    looks = plausibility(literal)
+    return weight * looks * (0.5 if weight == WEAK and looks < 1.0 and not _random(literal) else 1.0)
+
+
 def _literal(quoted: str) -> str:
-    return _ESCAPE.sub(lambda m: {"n": "\n", "t": "\t"}.get(m[1], m[1]), quoted[1:-1])
+    triple = len(quoted) >= 6 and quoted[:3] in ('"""', "'''")
+    inner = _ESCAPE.sub(lambda m: {"n": "\n", "t": "\t", "\n": ""}.get(m[1], m[1]), quoted[3:-3] if triple else quoted[1:-1])
+    return inner.strip() if triple or "-----BEGIN " in inner else inner
+
+
+def _block(text: str, start: int, header: int) -> str:
+    """The YAML block scalar whose name begins at start and whose | or > is at header; empty if the line holds more than the pair."""
+    column = start - (text.rfind("\n", 0, start) + 1)
+    if text[start - column : start].strip(" -"):
+        return ""
+    lines, at = [], text.find("\n", header) + 1
+    while 0 < at < len(text):
+        stop = text.find("\n", at)
+        line = text[at : stop if stop >= 0 else len(text)]
+        if line.strip() and len(line) - len(line.lstrip(" ")) <= column:
+            break
+        lines.append(line.strip())
+        at = stop + 1
+    return ("\n" if text[header] == "|" else " ").join(lines).strip()
 
 
 def pairs(text: str) -> list[tuple[int, str, str, float]]:
@@ -115,7 +161,9 @@ def pairs(text: str) -> list[tuple[int, str, str, float]]:
         name = name.strip("\"'")
         weight = sensitivity(name)
         value, sure = "", kind != "expr"
-        if kind == "expr":
+        if kind == "expr" and m["op"] == ":" and _BLOCK.match(expr):
+            value, sure = _block(text, m.start(), m.start(kind)), True
+        elif kind == "expr":
             bare = True
             for p in _PARTS.finditer(expr) if expr[0] in "\"'`" or _PARTS.match(expr) else ():
                 if p[1] is not None:
@@ -142,7 +190,7 @@ def pairs(text: str) -> list[tuple[int, str, str, float]]:
                 end = text.find("\n", m.end())
                 after = text[m.end() : end if end >= 0 else len(text)].strip()
                 alone = line in ("", "-", "export", "set", "local", "readonly") and after[:1] in ("", "#", ";")
-                sure = bool(m["scheme"]) or alone and not _IDENTIFIER.match(expr)
+                sure = bool(m["scheme"]) or expr.startswith("-----BEGIN ") or alone and not _IDENTIFIER.match(expr)
         else:
             value = _literal(expr) if expr[0] in "\"'`" else expr.strip()
         if sure and value:
@@ -168,9 +216,9 @@ def _scanner(threshold: float):
                 for i in rows.tolist():
                     for at, name, literal, weight in pairs(texts[i].as_py()):
                         if weight:
-                            score = weight * plausibility(literal)
-                            if score >= threshold:
-                                found.append((i, at, name, score, _mask(literal), len(literal), hashlib.sha256(literal.encode("utf-8", "replace")).hexdigest()))
+                            likely = score(weight, literal)
+                            if likely >= threshold:
+                                found.append((i, at, name, likely, _mask(literal), len(literal), hashlib.sha256(literal.encode("utf-8", "replace")).hexdigest()))
                 cols = list(zip(*found)) or [()] * 7
                 kinds = [pa.int64(), pa.int64(), pa.string(), pa.float64(), pa.string(), pa.int64(), pa.string()]
                 cols = [pa.array(c, k) for c, k in zip(cols, kinds)]

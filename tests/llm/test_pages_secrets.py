@@ -74,6 +74,39 @@ def test_pairs(source, want):
     assert got == want
 
 
+PEM = f"-----BEGIN RSA PRIVATE KEY-----\n{KEY * 2}\n{KEY}==\n-----END RSA PRIVATE KEY-----"
+INDENTED = PEM.replace("\n", "\n    ")
+
+
+@pytest.mark.parametrize(
+    ("source", "want"),
+    [
+        (f'SECRET_KEY = """{KEY}"""', [("SECRET_KEY", KEY)]),
+        (f"SECRET_KEY = '''\n{KEY}\n'''\nx = 1", [("SECRET_KEY", KEY)]),
+        (f'private_key = """\n{PEM}\n"""\n', [("private_key", PEM)]),
+        (f'PRIVATE_KEY="{PEM}"\n', [("PRIVATE_KEY", PEM)]),
+        (f"PRIVATE_KEY={PEM}\nx=1\n", [("PRIVATE_KEY", PEM)]),
+        (f"a:\n  private_key: |\n    {INDENTED}\n  other: 1\n", [("private_key", PEM)]),
+        (f"- password: >-  # folded\n    {KEY}\n\n- x: 1", [("password", KEY)]),
+        (f'password = "{KEY[:9]}\\\n{KEY[9:]}"', [("password", KEY)]),
+        ('secret = """some words that say what a secret of this kind is"""', []),
+        ("password: |\nother: 1\n", []),
+        (f'key = """{PEM.replace("RSA PRIVATE KEY", "CERTIFICATE")}"""', []),
+        *((f'{n} = "{KEY}9f8e7d6c"', [(n, KEY + "9f8e7d6c")]) for n in ss.NAMES),
+        ("key = 'created_at_desc_index_of_rows'", []),
+        ("session = 'the-session-of-this-user'", []),
+    ],
+)
+def test_several_lines_and_weak_names(source, want):
+    assert [(n, v) for _, n, v, w in ss.pairs(source) if w and ss.score(w, v) >= ss.THRESHOLD] == want
+
+
+def test_scan_of_several_lines_and_weak_names(spark):
+    rows = [(1, f'private_key = """\n{PEM}\n"""'), (2, f"private_key: |\n    {INDENTED}\n"), (3, f'cert = "{KEY}"'), (4, f'key = "{KEY}9f8e7d6c"'), (5, "key = 'created_at_desc_index_of_rows'")]
+    got = ss.secrets(spark.createDataFrame(rows, "doc_id int, text string")).collect()
+    assert sorted(r.doc_id for r in got) == [1, 2, 3, 4] and len({r.sha256 for r in got if r.doc_id < 3}) == 1
+
+
 def test_scan(spark):
     rows = [(1, f"token = '{KEY}'"), (None, f"token = '{KEY}'"), (2, None), (3, ""), (1, f"token = '{KEY}'"), (4, "word " * 50000 + f"\nsecret: {KEY}\n"), (5, "password = '" + "a1B$" * 3000 + "'")]
     df = spark.createDataFrame([(*r, "n") for r in rows], "doc_id int, text string, name string")
