@@ -295,6 +295,6 @@ def fuzzy_ratio(spark, sf_dir):
 
 @query()
 def fuzzy_position(spark, sf_dir):
-    items = table(spark, sf_dir, "benchmark")
-    first = F.array_join(pages.first_words(F.col("text"), 3), " ")
-    return items.select("item_id", similarity.fuzzy_position(first, F.col("text")).alias("x")).select("item_id", "x.*")
+    p = _pairs(spark, sf_dir).repartition(4 * spark.sparkContext.defaultParallelism)  # small files, much work a row
+    first = F.array_join(pages.first_words(F.col("truth"), 3), " ")
+    return p.select("doc_id", "item_id", similarity.fuzzy_position(first, F.col("pred")).alias("x")).select("doc_id", "item_id", "x.*")
