@@ -1,29 +1,31 @@
 """Near-duplicate documents from bottom-k sketches of one hash function.
 
 1. Each document becomes its set of hashed word n-grams; the k least hashes are its sketch.
-2. Documents of the same word sequence collapse to the one with the least doc_id.
+2. Documents of the same word sequence collapse to one node.
 3. Inverted lists of retained values generate overlaps.  A pair that the sketch filter would
    pass shares at least ``ceil(floor * s)`` of the s values either side retains, so the two
    must meet among the ``s - ceil(floor * s) + 1`` values of each that are rarest in the
    corpus (prefix filtering): only those enter the lists, and nothing is lost.
-4. Within a list every member is compared with the list's least document first; afterwards
+4. Within a list every member is compared with the list's least node first; afterwards
    only pairs that no chain of verified pairs connects are compared.  Large groups of copies
    thus cost a number of comparisons in proportion to their size.
 5. The union sketch (the k least values of both sketches together) estimates Jaccard
    similarity; pairs that pass are verified by the exact similarity of the n-gram sets.
-6. Verified pairs make groups by connected components; the least doc_id of a group stays.
+6. Verified pairs make groups by connected components; the least document of a group stays, in the order
+   (doc_id, hash of the text).
 
 Defined cases: a row without doc_id, and a document without a word (null, empty, only
 punctuation), takes part in no group and is always kept.  A document of fewer than n words
-has one n-gram, all its words.  Rows that repeat a doc_id with the same text are one document.
-Other columns pass through.
+has one n-gram, all its words.  Rows that repeat a doc_id with the same text are one document; with
+another text they are another, which stays or goes by itself, so `near_duplicates` may name a doc_id in several groups.
+An empty table has no groups.  Other columns, whatever their names, pass through.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .arrowtext import U64, hashed_words, slices, span_hashes
@@ -63,7 +65,7 @@ def _sketcher(n: int, k: int):
     def run(batches):
         for batch in batches:
             for part in slices(batch, "text"):
-                words, first, grams_h, _, grams = _sequences(part.column(1), n)
+                words, first, grams_h, _, grams = _sequences(part.column(2), n)
                 rows = np.arange(len(first) - 1)
                 whole = span_hashes(words, first[:-1], first[1:])
                 turned = span_hashes(words[::-1], (len(words) - first[1:])[::-1], (len(words) - first[:-1])[::-1])[::-1]
@@ -75,8 +77,8 @@ def _sketcher(n: int, k: int):
                 np.cumsum(np.minimum(m, k), out=offs[1:])
                 some = rows[m > 0]
                 out = pa.RecordBatch.from_arrays(
-                    [part.column(0), pa.array(whole.view(np.int64)), pa.array(np.ascontiguousarray(turned).view(np.int64)), pa.array(m.astype(np.int32)), pa.ListArray.from_arrays(pa.array(offs), pa.array(kept))],
-                    names=["doc_id", "h1", "h2", "m", "sketch"],
+                    [part.column(0), part.column(1), pa.array(whole.view(np.int64)), pa.array(np.ascontiguousarray(turned).view(np.int64)), pa.array(m.astype(np.int32)), pa.ListArray.from_arrays(pa.array(offs), pa.array(kept))],
+                    names=["doc_id", "version", "h1", "h2", "m", "sketch"],
                 )
                 yield out.take(pa.array(some))
 
@@ -84,9 +86,9 @@ def _sketcher(n: int, k: int):
 
 
 def sketches(docs: DataFrame, n: int = GRAM, k: int = K) -> DataFrame:
-    """doc_id, two hashes of the word sequence, the number of distinct n-grams and the k least of their hashes."""
-    src = docs.where("doc_id is not null").select("doc_id", F.col("text").cast("string").alias("text"))
-    return src.mapInArrow(_sketcher(n, k), output_schema(src, ["doc_id"], "h1 bigint, h2 bigint, m int, sketch array<bigint>"))
+    """doc_id, a hash of the text, two of the word sequence, the number of distinct n-grams and the k least of their hashes."""
+    src = docs.where("doc_id is not null").select("doc_id", F.xxhash64(F.col("text").cast("string")).alias("version"), F.col("text").cast("string").alias("text"))
+    return src.mapInArrow(_sketcher(n, k), output_schema(src, ["doc_id"], "version bigint, h1 bigint, h2 bigint, m int, sketch array<bigint>"))
 
 
 def _verifier(n: int, threshold: float):
@@ -115,58 +117,70 @@ def _verifier(n: int, threshold: float):
 
 
 def _verified(pairs: DataFrame, sk: DataFrame, texts: DataFrame, n: int, k: int, threshold: float, floor: float) -> DataFrame:
-    """Of the pairs (a, b), those whose estimate passes `floor` and whose similarity passes `threshold`."""
-    left = sk.select(F.col("doc_id").alias("a"), F.col("sketch").alias("sa"))
-    right = sk.select(F.col("doc_id").alias("b"), F.col("sketch").alias("sb"))
+    """Of the pairs of nodes (a, b), those whose estimate passes `floor` and whose similarity passes `threshold`."""
+    left = sk.select(F.col("node").alias("a"), F.col("sketch").alias("sa"))
+    right = sk.select(F.col("node").alias("b"), F.col("sketch").alias("sb"))
     p = pairs.join(left, "a").join(right, "b")
     union = F.slice(F.array_sort(F.array_union("sa", "sb")), 1, k)
     shared = F.size(F.array_intersect(F.array_intersect("sa", "sb"), union))
     p = p.where(shared >= F.lit(floor) * F.size(union)).select("a", "b")
-    p = p.join(texts.select(F.col("doc_id").alias("a"), F.col("text").alias("ta")), "a")
-    p = p.join(texts.select(F.col("doc_id").alias("b"), F.col("text").alias("tb")), "b")
+    p = p.join(texts.select(F.col("node").alias("a"), F.col("text").alias("ta")), "a")
+    p = p.join(texts.select(F.col("node").alias("b"), F.col("text").alias("tb")), "b")
     return p.mapInArrow(_verifier(n, threshold), output_schema(p, ["a", "b"], "jaccard double"))
 
 
-def near_duplicates(docs: DataFrame, n: int = GRAM, k: int = K, threshold: float = THRESHOLD, floor: float = FLOOR) -> DataFrame:
-    """(doc_id, group_id) of every document that has a near duplicate; group_id is the least doc_id of its group."""
+def _members(docs: DataFrame, n: int, k: int, threshold: float, floor: float) -> DataFrame:
+    """(doc_id, version, kept) of every document in a group of several; kept is the (doc_id, version) that stays."""
     docs = docs.select("doc_id", F.col("text").cast("string").alias("text"))
     sk = written(sketches(docs, n, k), "sketches")
-    copies = sk.groupBy("h1", "h2").agg(F.min("doc_id").alias("rep"))
-    reps = written(sk.join(copies.select(F.col("rep").alias("doc_id")).distinct(), "doc_id", "left_semi").select("doc_id", "m", "sketch").dropDuplicates(["doc_id"]), "reps")
+    copies = sk.groupBy("h1", "h2").agg(F.min("doc_id").alias("doc_id"))
+    one_of_each = sk.join(copies, ["h1", "h2", "doc_id"], "left_semi").dropDuplicates(["h1", "h2", "doc_id"])
+    nodes = written(one_of_each.withColumn("node", F.monotonically_increasing_id()), "nodes")
+    reps = nodes.select("node", "m", "sketch")
 
-    values = reps.select("doc_id", "m", F.size("sketch").alias("s"), F.explode("sketch").alias("v"))
+    values = reps.select("node", "m", F.size("sketch").alias("s"), F.explode("sketch").alias("v"))
     common = values.groupBy("v").agg(F.count("*").alias("df")).where("df > 1")
     take = F.col("s") - F.ceil(F.lit(floor) * F.col("s") - F.lit(1e-9)) + 1 - (F.col("s") - F.size("shared"))
     prefix = (
-        values.join(common, "v").groupBy("doc_id", "m", "s").agg(F.array_sort(F.collect_list(F.struct("df", "v"))).alias("shared"))
+        values.join(common, "v").groupBy("node", "m", "s").agg(F.array_sort(F.collect_list(F.struct("df", "v"))).alias("shared"))
         .withColumn("take", take.cast("int")).where("take > 0")
-        .select("doc_id", "m", F.explode(F.slice("shared", F.lit(1), F.col("take"))).alias("x")).select("doc_id", "m", F.col("x.v").alias("v"))
+        .select("node", "m", F.explode(F.slice("shared", F.lit(1), F.col("take"))).alias("x")).select("node", "m", F.col("x.v").alias("v"))
     )
-    prefix = prefix.withColumn("pivot", F.min("doc_id").over(Window.partitionBy("v")))
-    prefix = written(prefix, "prefix")
-
-    texts = written(docs.join(prefix.select("doc_id").distinct(), "doc_id", "left_semi").dropDuplicates(["doc_id"]), "texts")
-    near = reps.join(prefix.select("doc_id").distinct(), "doc_id", "left_semi")
-    star = prefix.where("pivot <> doc_id").select(F.col("pivot").alias("a"), F.col("doc_id").alias("b")).distinct()
+    pivots = prefix.groupBy("v").agg(F.min("node").alias("pivot"))
+    prefix = written(prefix.join(pivots, "v"), "prefix")
+
+    met = written(prefix.select("node").distinct(), "met")
+    near = reps.join(met, "node", "left_semi")
+    wanted = nodes.join(met, "node", "left_semi").select("node", "doc_id", "version")
+    texts = docs.where("doc_id is not null").withColumn("version", F.xxhash64("text")).join(wanted, ["doc_id", "version"]).select("doc_id", "version", "node", "text")
+    texts = written(texts.dropDuplicates(["doc_id", "version", "node"]).select("node", "text"), "texts")
+    star = prefix.where("pivot <> node").select(F.col("pivot").alias("a"), F.col("node").alias("b")).distinct()
     one = written(_verified(star, near, texts, n, k, threshold, floor), "star")
 
     label = components(one)
-    named = prefix.join(label, prefix.doc_id == label.node, "left").select("v", "doc_id", "m", "pivot", F.coalesce("label", "doc_id").alias("label"))
+    named = prefix.join(label, "node", "left").select("v", "node", "m", "pivot", F.coalesce("label", "node").alias("label"))
     mixed = named.groupBy("v").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").select("v")
-    rest = named.join(mixed, "v").where("doc_id <> pivot")
-    x = rest.select("v", F.col("doc_id").alias("a"), F.col("m").alias("ma"), F.col("label").alias("la"))
-    y = rest.select("v", F.col("doc_id").alias("b"), F.col("m").alias("mb"), F.col("label").alias("lb"))
+    rest = named.join(mixed, "v").where("node <> pivot")
+    x = rest.select("v", F.col("node").alias("a"), F.col("m").alias("ma"), F.col("label").alias("la"))
+    y = rest.select("v", F.col("node").alias("b"), F.col("m").alias("mb"), F.col("label").alias("lb"))
     cross = x.join(y, "v").where((F.col("a") < F.col("b")) & (F.col("la") != F.col("lb")) & (F.least("ma", "mb") >= F.lit(threshold) * F.greatest("ma", "mb"))).select("a", "b").distinct()
     two = written(_verified(cross, near, texts, n, k, threshold, floor), "cross")
 
     label = components(one.unionByName(two))
-    group = copies.join(label, copies.rep == label.node, "left").select("h1", "h2", F.coalesce("label", "rep").alias("group_id"))
-    members = sk.select("doc_id", "h1", "h2").distinct().join(group, ["h1", "h2"]).groupBy("doc_id").agg(F.min("group_id").alias("group_id"))
-    several = members.groupBy("group_id").agg(F.count("*").alias("n")).where("n > 1").select("group_id")
-    return members.join(several, "group_id").select("doc_id", "group_id")
+    classes = nodes.select("node", "h1", "h2").join(label, "node", "left").select("h1", "h2", F.coalesce("label", "node").alias("label"))
+    members = sk.select("doc_id", "version", "h1", "h2").distinct().join(classes, ["h1", "h2"]).select("doc_id", "version", "label")
+    several = members.groupBy("label").agg(F.count("*").alias("n"), F.min(F.struct("doc_id", "version")).alias("kept")).where("n > 1").select("label", "kept")
+    return members.join(several, "label").select("doc_id", "version", "kept")
+
+
+def near_duplicates(docs: DataFrame, n: int = GRAM, k: int = K, threshold: float = THRESHOLD, floor: float = FLOOR) -> DataFrame:
+    """(doc_id, group_id) of every document that has a near duplicate; group_id is the least doc_id of its group."""
+    return _members(docs, n, k, threshold, floor).select("doc_id", F.col("kept.doc_id").alias("group_id")).distinct()
 
 
-def drop_near_duplicates(docs: DataFrame, **options) -> DataFrame:
-    """docs without those documents that are near duplicates of the least doc_id of their group."""
-    gone = near_duplicates(docs, **options).where("doc_id <> group_id").select("doc_id")
-    return docs.join(gone, "doc_id", "left_anti").select(docs.columns)
+def drop_near_duplicates(docs: DataFrame, n: int = GRAM, k: int = K, threshold: float = THRESHOLD, floor: float = FLOOR) -> DataFrame:
+    """docs without those rows that are near duplicates of the kept document of their group."""
+    gone = _members(docs, n, k, threshold, floor).where("doc_id <> kept.doc_id or version <> kept.version").select("doc_id", "version")
+    plain = [f"c{i}" if c not in ("doc_id", "text") else c for i, c in enumerate(docs.columns)]
+    src = docs.toDF(*plain).withColumn("version", F.xxhash64(F.col("text").cast("string")))
+    return src.join(gone, ["doc_id", "version"], "left_anti").select(plain).toDF(*docs.columns)
