@@ -75,6 +75,18 @@ def test_near_duplicates_against_all_pairs(spark):
     assert {None, 9001, 9002, 9003} <= set(left) and set(left) & set(texts) == set(texts) - {i for i, g in got.items() if i != g}
 
 
+def test_no_text_is_lost_when_a_doc_id_repeats(spark):
+    x, y, near = "one two three four five six", "quite another text than that", "one two three four five six seven"
+    for rows in ([(1, x), (2, x), (2, y)], [(2, y), (2, x), (1, x)], [(2, x), (2, y), (1, x), (1, x)]):
+        left = sorted((r.doc_id, r.text) for r in minhash_dedup.drop_near_duplicates(table(spark, rows)).collect())
+        assert sorted(set(left)) == [(1, x), (2, y)] and len(left) == 2 + rows.count((1, x)) - 1
+        assert sorted(map(tuple, minhash_dedup.near_duplicates(table(spark, rows)).collect())) == [(1, 1), (2, 1)]
+    left = minhash_dedup.drop_near_duplicates(table(spark, [(7, x), (7, near), (7, y)])).collect()
+    assert len(left) == 2 and y in {r.text for r in left}
+    names = spark.createDataFrame([("b", x), ("a", x), ("c", None)], "doc_id string, text string")
+    assert sorted(r.doc_id for r in minhash_dedup.drop_near_duplicates(names).collect()) == ["a", "c"]
+
+
 def test_near_duplicates_of_nothing(spark):
     assert minhash_dedup.near_duplicates(table(spark, []).limit(0)).count() == 0
     assert minhash_dedup.drop_near_duplicates(table(spark, EMPTY_ROWS)).count() == 4
@@ -172,10 +184,29 @@ def test_contamination_against_every_pair(spark):
     assert decontaminate.contaminated(src.limit(0), bench).count() == 0 and decontaminate.drop_contaminated(src, bench.limit(0)).count() == src.count()
 
 
+def test_both_ways_of_decontamination_are_equal(spark):
+    items, docs = contamination_fixture()
+    whole = [(i, items[i]) for i in (3, 4, 5)]
+    bench = spark.createDataFrame([*items.items(), (0, items[7]), (0, items[7]), (5, "rare short"), (6, None), (7, ""), (8, "die дом é")], "item_id bigint, text string")
+    rows = [*docs.items(), (1, "clean words only"), (2, docs[0]), (2, "clean"), (2, docs[0]), (70, "some rare short words"), (71, "x " + whole[0][1]), (None, whole[1][1]), (72, "die дом é"), (73, None), (74, "")]
+    src = table(spark, rows)
+    order = lambda df: sorted(map(tuple, df.collect()), key=str)
+    found = [order(decontaminate.contaminated(src, bench, broadcast_limit=k)) for k in (0, 10**6)]
+    assert found[0] == found[1]
+    assert {(70, 5), (71, 3), (72, 8)} <= {(d, i) for d, i, *_ in found[0]}
+    # the second text of item 0 is looked for as well
+    assert {d for d, i, *_ in found[0] if i == 7} <= {d for d, i, *_ in found[0] if i == 0}
+    kept = [order(decontaminate.drop_contaminated(src, bench, broadcast_limit=k)) for k in (0, 10**6)]
+    assert kept[0] == kept[1]
+    left = [(r[0], r[1]) for r in kept[0]]
+    assert (1, "clean words only") in left and (2, "clean") in left and (2, docs[0]) not in left and (None, whole[1][1]) in left
+
+
 def test_slices_without_a_match_have_the_same_schema():
     ids = pa.array([7], pa.int64())
     words = arrowtext.hashed_words(pa.array(["one two three four"]))[0]
-    seeds = decontaminate.Seeds(arrowtext.gram_hashes(words, np.array([0, 4]), 3)[0], np.zeros(2, np.int64), 3, [words])
+    _, grams, _, _ = next(decontaminate.gram_series(words, np.array([0, 4]), [3]))
+    seeds = decontaminate.Seeds(grams, np.zeros(2, np.int64), [3], [words])
     batch = lambda t: pa.RecordBatch.from_arrays([pa.array([1]), pa.array([t])], names=["doc_id", "text"])
     out = list(decontaminate._scanner(seeds, ids, 0.5, False)([batch("nothing of it here"), batch("one two three four")]))
     assert out[0].schema == out[1].schema and [b.num_rows for b in out] == [0, 1] and out[1].column(1).to_pylist() == [7]
