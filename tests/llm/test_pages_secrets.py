@@ -1,4 +1,10 @@
+import re
+import time
+
+import pyarrow as pa
 import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
 
 from foliospark.llm import html_extract as he
 from foliospark.llm import secret_scan as ss
@@ -101,6 +107,66 @@ def test_several_lines_and_weak_names(source, want):
     assert [(n, v) for _, n, v, w in ss.pairs(source) if w and ss.score(w, v) >= ss.THRESHOLD] == want
 
 
+@settings(max_examples=150, deadline=None)
+@given(st.data())
+def test_flow_against_reading_names_one_by_one(data):
+    """Each name has one assignment; a name stands for its literal wherever that stands, and circles stand for nothing."""
+    n = data.draw(st.integers(1, 9))
+    of = [data.draw(st.one_of(st.just(None), st.integers(0, n - 1))) for _ in range(n)]
+    order = data.draw(st.permutations(range(n)))
+    text = "\n".join(f"n{i} = 'lit{i}'" if of[i] is None else f"n{i} = n{of[i]}" for i in order)
+
+    def literal(i, seen=()):
+        return None if i in seen else f"lit{i}" if of[i] is None else literal(of[i], (*seen, i))
+
+    got = {a: v for _, a, v, _ in ss.pairs(text)}
+    for i in range(n):
+        if literal(i):
+            assert got[f"n{i}"] == literal(i), text
+        else:  # alone in its line, a word with a digit is a literal after all
+            assert got[f"n{i}"].startswith("n")
+
+
+LEAD = ["", "x = 1\n", "some words: of text, go on\n", "/* note */ ", "a.b.c(d); ", '{"a": "b", ', "\n\n  - "]
+SHAPED = [
+    ("{n} = '{v}'", 1), ('"{n}": "{v}"', 1), ("{n}: str = '{v}'", 1), ("\n{n}={v}\n", 1), ("{n} := `{v}`", 1), ("{n} => '{v}'", 1), ("\nexport {n}={v}\n", 1), ("<{n}>{v}</{n}>", 1),
+    (" --{n} {v} ", 1), ("\nENV {n} {v}", 1), ('{n} = """{v}"""', 1), ("z9 = '{v}'\n{n} = z9\n", 1), ("\n{n} = z8\nz8 = '{v}'", 1), ("{n} = 'x' + '{v}'", 2),
+]
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.sampled_from(LEAD), st.sampled_from(SHAPED), st.sampled_from(["password", "api_key", "db.authToken", "clientSecret"]), st.text("abcXYZ0123456789", min_size=8, max_size=40), st.sampled_from(["", "\nrest of it", "; and = more"]))
+def test_every_form_is_read(lead, form, name, value, trail):
+    value = "a1" + value
+    if any(x in form[0] for x in ("<", "--", "ENV", "export")):
+        name = name.replace(".", "_")
+    text = lead + form[0].replace("{n}", name).replace("{v}", value) + trail
+    assert (name, "x" + value if form[1] == 2 else value) in {(n, v) for _, n, v, _ in ss.pairs(text)}, text
+    # what the scan reports is what all pairs of the text say: the filter before it loses nothing
+    batch = pa.RecordBatch.from_arrays([pa.array([1]), pa.array([text])], names=["doc_id", "text"])
+    got = [r for b in ss._scanner(ss.THRESHOLD)([batch]) for r in b.to_pylist()]
+    assert [(r["start_char"], r["name"]) for r in got] == [(a, n) for a, n, v, w in ss.pairs(text) if w and ss.score(w, v) >= ss.THRESHOLD]
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.text("pPaswdtokenkys_-. 1", max_size=14))
+def test_the_filter_holds_for_every_sensitive_name(name):
+    if ss.sensitivity(name):
+        assert re.search(ss._HINT, name)
+
+
+def test_time_in_proportion_to_the_text():
+    for piece in ("a.b", "-----BEGIN PRIVATE KEY ", "a=b ", "\"a='", "a:", "a", "word ", "x='''y=\"\"\"", "--", "<a>", 'x="\\\n', "://a:b", 'a["x"]', 'k="-----BEGIN PRIVATE KEY-----', " ", "x: |\n", "password_" * 9 + " "):
+        took = []
+        for n in (100_000, 400_000):
+            text = piece * (n // len(piece))
+            began = time.process_time()
+            ss.pairs(text)
+            took.append(time.process_time() - began)
+        assert took[1] < 0.5 or took[1] < 8 * took[0], (piece, took)
+    assert len(ss.pairs("a = 'ab'\n" + "a = a + a\n" * 200)[-1][2]) <= 2 * ss.LONGEST
+
+
 def test_scan_of_several_lines_and_weak_names(spark):
     rows = [(1, f'private_key = """\n{PEM}\n"""'), (2, f"private_key: |\n    {INDENTED}\n"), (3, f'cert = "{KEY}"'), (4, f'key = "{KEY}9f8e7d6c"'), (5, "key = 'created_at_desc_index_of_rows'")]
     got = ss.secrets(spark.createDataFrame(rows, "doc_id int, text string")).collect()
