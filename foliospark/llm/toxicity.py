@@ -1,11 +1,11 @@
 """Toxic documents, after undoing obfuscated spelling.
 
 1. A character trigram model is counted over the words of the whole corpus.
-2. Tokens that may hide a word (a digit or symbol between letters or in place of one, a letter three times
-   in a row, letters spaced out one by one) become lattices: a leetspeak sign may stand for its
+2. Tokens that may hide a word (a digit, symbol or currency sign between letters or in place of one, a letter three
+   times in a row, letters spaced out one by one) become lattices: a leetspeak sign may stand for its
    letters, a separator for nothing, a run for one or two letters, a gap for nothing or
-   itself.  Viterbi decoding finds the likeliest reading under the model.  A token
-   without any of these has one reading, itself, so it needs no decoding.
+   itself.  Viterbi decoding finds the likeliest reading under the model, of the whole token or stretch however long
+   it is.  A token without any of these has one reading, itself, so it needs no decoding.
 3. From labelled documents (at most `max_labelled`, taken by hash of doc_id) features of words
    get weights: whole words, prefixes, 5-grams with word boundaries.  A weight is the change
    of the log-odds that a document is toxic.
@@ -111,10 +111,10 @@ def lattice(token: str) -> list[list[str]]:
 
 def decode(token: str, model: np.ndarray, keep: float = -9.0) -> str:
     """The likeliest reading of a token.  A sign that is kept as it is costs `keep` and ends a word."""
-    beam = {(0, 0): (0.0, "")}
+    beam: dict[tuple[int, int], tuple[float, tuple | None]] = {(0, 0): (0.0, None)}  # last two symbols: score, (reading, what came before)
     for reads in lattice(token):
-        nxt: dict[tuple[int, int], tuple[float, str]] = {}
-        for (a, b), (score, said) in beam.items():
+        nxt: dict[tuple[int, int], tuple[float, tuple | None]] = {}
+        for (a, b), (score, before) in beam.items():
             for r in reads:
                 x, y, s = a, b, score
                 for c in r:
@@ -126,9 +126,22 @@ def decode(token: str, model: np.ndarray, keep: float = -9.0) -> str:
                         s += model[x, y, k]
                         x, y = y, k
                 if (x, y) not in nxt or s > nxt[x, y][0]:
-                    nxt[x, y] = (s, said + r)
+                    nxt[x, y] = (s, (r, before))
         beam = nxt
-    return max(((s + (model[a, b, 0] if b else 0.0)), said) for (a, b), (s, said) in beam.items())[1]
+    link = max(((s + (model[a, b, 0] if b else 0.0)), i, link) for i, ((a, b), (s, link)) in enumerate(beam.items()))[2]
+    said = []
+    while link:
+        said.append(link[0])
+        link = link[1]
+    return "".join(reversed(said))
+
+
+def _all(raw: np.ndarray, what: bytes) -> np.ndarray:
+    """Where the bytes `what` occur."""
+    at = np.flatnonzero(raw[: len(raw) - len(what) + 1] == what[0])
+    for k in range(1, len(what)):
+        at = at[raw[at + k] == what[k]]
+    return at
 
 
 class Restorer:
@@ -138,6 +151,8 @@ class Restorer:
         self.model, self.limit, self.known = model, limit, {}
 
     def read(self, token: str) -> str:
+        if len(token) > 100:  # hardly seen twice
+            return decode(token, self.model)
         got = self.known.get(token)
         if got is None:
             if len(self.known) > self.limit:
@@ -152,6 +167,10 @@ class Restorer:
         if n < 3:
             return []
         letter, space = _LETTER[raw], _SPACE[raw]
+        euro, pound = _all(raw, "€".encode()), _all(raw, "£".encode())
+        for at, size in ((euro, 3), (pound, 2)):
+            for k in range(size):
+                letter[at + k] = False
         sign = ~letter & ~space
         first = np.zeros(n, bool)
         first[offsets[:-1][offsets[:-1] < n]] = True
@@ -178,11 +197,12 @@ class Restorer:
         last[inside(closed)] = closed
         bad |= last >= lead
         leet = np.zeros(256, bool)
-        leet[[ord(c) for c in "013456789@$!|+("]] = True
-        head = leet[raw[starts]] & (last >= starts)
+        leet[[ord(c) for c in "013456789@$!|+({"]] = True
+        leet[[0xE2, 0xC2]] = True  # of signs, only the two currencies begin so
+        head = leet[raw[starts]] & sign[starts] & (last >= starts)
         bad |= head
         tail = leet.copy()
-        tail[[ord(c) for c in "!|+("]] = False  # after a word these are punctuation
+        tail[[ord(c) for c in "!|+({"]] = False  # after a word these are punctuation
         alone = raw[np.minimum(opened + 1, n - 1)] != raw[opened]  # a run of one sign is decoration
         bad[inside(opened[tail[raw[opened]] & alone])] = True
         triple = np.flatnonzero(letter[2:] & (low[2:] == low[1:-1]) & (low[1:-1] == low[:-2]) & (raw[2:] < 0x80))
@@ -191,7 +211,7 @@ class Restorer:
         # stretches of at least three one-letter tokens with single gaps
         size = ends - starts
         wide = (raw[starts] >= 0xC2).astype(np.int64)
-        single = (size == 1 + wide) & (letter[starts] | leet[raw[starts]])
+        single = (size == 1 + wide) & (letter[starts] | leet[raw[starts]]) | (size == 3) & np.isin(starts, euro)
         near = np.zeros(len(starts), bool)
         near[1:] = single[1:] & single[:-1] & (starts[1:] - ends[:-1] == 1) & (raw[np.maximum(starts[1:] - 1, 0)] == 32)
         spans = [(int(starts[i]), int(ends[i])) for i in np.flatnonzero(bad)]
@@ -212,11 +232,10 @@ class Restorer:
             doc = np.searchsorted(offsets, [s for s, _ in spans], "right") - 1
             for (s, e), d in zip(spans, doc.tolist()):
                 token = data[s:e].decode("utf-8", "ignore")
-                for piece in (token[i : i + 60] for i in range(0, len(token), 50)) if len(token) > 60 else (token,):
-                    said = self.read(piece)
-                    if said != piece.lower():
-                        rows.append(d)
-                        texts.append(said)
+                said = self.read(token)
+                if said != token.lower():
+                    rows.append(d)
+                    texts.append(said)
         return rows, texts
 
 
@@ -305,7 +324,8 @@ def fit(docs: DataFrame, labels: DataFrame, model: np.ndarray, max_labelled: int
     """The weights; significant is a likelihood ratio beyond log(number of features) + margin."""
     known = labels.where("doc_id is not null and toxic in (0, 1)").groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
     sample = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_labelled)
-    own = docs.where("doc_id is not null").select("doc_id", F.col("text").cast("string").alias("text")).join(sample, "doc_id").select("text", "toxic")
+    # the sample has at most max_labelled rows of two numbers
+    own = docs.where("doc_id is not null").select("doc_id", F.col("text").cast("string").alias("text")).join(F.broadcast(sample), "doc_id").select("text", "toxic")
     counted = own.mapInArrow(_gram_counter(model), "gram bigint, bad bigint, good bigint").groupBy("gram").agg(F.sum("bad").alias("bad"), F.sum("good").alias("good"))
     counted = written(counted, "features")
     total = counted.where("gram = -1").first()
@@ -317,49 +337,75 @@ def fit(docs: DataFrame, labels: DataFrame, model: np.ndarray, max_labelled: int
     ratio = F.when(F.col("bad") > 0, F.col("bad") * F.log(p / share)).otherwise(0.0) + F.when(F.col("good") > 0, F.col("good") * F.log((1 - p) / (1 - share))).otherwise(0.0)
     change = F.log((F.col("bad") + 0.5) / (F.col("good") + 0.5)) - prior
     # The labelled sample is bounded, and so is the number of its features.
-    kept = counted.where((F.col("gram") >= 0) & (F.col("bad") + F.col("good") >= support)).select("gram", change.alias("w"), ((p > share) & (ratio > math.log(size) + margin)).alias("s")).orderBy("gram").toPandas()
-    return Weights(kept.gram.to_numpy(), kept.w.to_numpy(), kept.s.to_numpy(), prior)
+    kept = counted.where((F.col("gram") >= 0) & (F.col("bad") + F.col("good") >= support)).select("gram", change.alias("w"), ((p > share) & (ratio > math.log(size) + margin)).alias("s")).toArrow()
+    gram, w, s = (kept.column(c).to_numpy() for c in ("gram", "w", "s"))
+    order = np.argsort(gram)
+    return Weights(gram[order], w[order], s[order], prior)
 
 
 def _bit(value: np.ndarray) -> np.ndarray:
     return value >> np.uint64(48 - _BITS)
 
 
+def word_values(low: np.ndarray, offsets: np.ndarray, weights: Weights, hot: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(document, weight) of every distinct word of a document whose weight is positive.  Features are
+    looked up once for each distinct word of all the texts."""
+
+    def likely(h: np.ndarray) -> np.ndarray:
+        at = np.flatnonzero(hot[_bit(h)])
+        return at[np.isin(h[at], weights.hot)]
+
+    starts, ends, first = word_spans(low, offsets, _LETTER)
+    if not len(starts):
+        return np.empty(0, np.int64), np.empty(0)
+    keys, where, back = np.unique(span_hashes(low, starts, ends), return_index=True, return_inverse=True)
+    size = ends[where] - starts[where] + 1  # with a blank behind each
+    begin = np.cumsum(size) - size
+    own = low[np.minimum(np.repeat(starts[where] - begin, size) + np.arange(size.sum()), len(low) - 1)]
+    own[begin + size - 1] = 32
+    f = Features(own, np.array([0, len(own)]))
+    gram = likely(f.gram)
+    word = np.unique(np.concatenate([f.gram_word[gram], *map(likely, f.levels)]).astype(np.int64))
+    value, open_ = np.zeros(len(word)), np.ones(len(word), bool)
+    for h in f.levels:  # the most specific feature that is known decides
+        found, at = weights.find(h[word])
+        value[found & open_] = weights.change[at[found & open_]]
+        open_ &= ~found
+    best = np.zeros(len(keys))
+    found, at = weights.find(f.gram[gram])
+    np.maximum.at(best, f.gram_word[gram][found], weights.change[at[found]])
+    value[open_] = best[word[open_]]
+    values = np.zeros(len(keys))
+    values[word] = value
+    at = np.flatnonzero(values[back] > 0)
+    pair = np.unique((np.searchsorted(first, at, "right") - 1) * len(keys) + back[at])
+    return pair // len(keys), values[pair % len(keys)]
+
+
 def _scorer(model: np.ndarray, weights: Weights):
     def run(batches):
         hot = np.zeros(1 << _BITS, bool)
         hot[_bit(weights.hot)] = True
         restorer = Restorer(model)
-
-        def likely(h: np.ndarray) -> np.ndarray:
-            at = np.flatnonzero(hot[_bit(h)])
-            return at[np.isin(h[at], weights.hot)]
-
         for batch in batches:
             for part in slices(batch, "text"):
                 n = part.num_rows
                 total, words = np.full(n, weights.prior), np.zeros(n, np.int64)
                 if len(weights.hot):
-                    for f, doc in _both(part.column(part.schema.get_field_index("text")), restorer):
-                        gram = likely(f.gram)
-                        word = np.unique(np.concatenate([f.gram_word[gram], *map(likely, f.levels)]).astype(np.int64))
-                        if not len(word):
-                            continue
-                        _, one = np.unique(f.levels[0][word] << np.uint64(16) | doc[word].astype(np.uint64), return_index=True)
-                        word = word[one]
-                        value, open_ = np.zeros(len(word)), np.ones(len(word), bool)
-                        for h in f.levels:  # the most specific feature that is known decides
-                            found, at = weights.find(h[word])
-                            value[found & open_] = weights.change[at[found & open_]]
-                            open_ &= ~found
-                        if open_.any():
-                            best = np.zeros(len(doc))
-                            found, at = weights.find(f.gram[gram])
-                            np.maximum.at(best, f.gram_word[gram][found], weights.change[at[found]])
-                            value[open_] = best[word[open_]]
-                        good = value > 0
-                        np.add.at(total, doc[word[good]], value[good])
-                        words += np.bincount(doc[word[good]], minlength=n)
+                    raw, offsets = column_bytes(part.column(part.schema.get_field_index("text")))
+                    low = fold_case(raw)
+                    got = [word_values(low, offsets, weights, hot)]
+                    rows, texts = restorer.restored(raw, low, offsets)
+                    if rows:  # the readings of one document one after the other, so that each word counts once
+                        rows = np.array(rows)
+                        order = np.argsort(rows, kind="stable")
+                        own, at = np.unique(rows[order], return_index=True)
+                        more, off = column_bytes(pa.array([" ".join(texts[i] for i in g) for g in np.split(order, at[1:])]))
+                        doc, value = word_values(fold_case(more), off, weights, hot)
+                        got.append((own[doc], value))
+                    for doc, value in got:
+                        np.add.at(total, doc, value)
+                        words += np.bincount(doc, minlength=n)
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(total), pa.array(words)], names=[*part.schema.names, "toxic_score", "toxic_words"])
 
     return run

@@ -1,7 +1,9 @@
 """Near duplicates, lines, contamination, toxicity and the pipeline against brute force, and the cases their docstrings define."""
 
+import itertools
 import random
 import re
+import time
 
 import numpy as np
 import pyarrow as pa
@@ -212,7 +214,7 @@ def test_slices_without_a_match_have_the_same_schema():
     assert out[0].schema == out[1].schema and [b.num_rows for b in out] == [0, 1] and out[1].column(1).to_pylist() == [7]
 
 
-def test_decoding():
+def small_model():
     rng = random.Random(2)
     column = pa.array([" ".join(rng.choice(["stupid", "idiot", "people", "letter", "hello", "good", "class", "assist"]) for _ in range(200)) for _ in range(20)])
     tri = np.zeros(toxicity.SIZE**3)
@@ -222,7 +224,75 @@ def test_decoding():
     bi, uni = tri.sum(0), tri.sum((0, 1))
     p1 = (uni + 1) / (uni.sum() + toxicity.SIZE)
     p2 = (bi + 20 * p1) / (bi.sum(1, keepdims=True) + 20)
-    model = np.log((tri + 10 * p2[None]) / (tri.sum(2, keepdims=True) + 10))
+    return np.log((tri + 10 * p2[None]) / (tri.sum(2, keepdims=True) + 10))
+
+
+def reading_score(said, model, keep=-9.0):
+    x = y = 0
+    s = 0.0
+    for c in said:
+        k = toxicity._symbol(c)
+        if k == 28:
+            s, x, y = s + keep + (model[x, y, 0] if y else 0.0), 0, 0
+        else:
+            s, x, y = s + model[x, y, k], y, k
+    return s + (model[x, y, 0] if y else 0.0)
+
+
+@settings(max_examples=150, deadline=None)
+@given(st.text("sTupid1!$€£{. ooé_", min_size=1, max_size=7))
+def test_decoding_against_all_paths(token):
+    model = small_model()
+    said = toxicity.decode(token, model)
+    paths = {"".join(p) for p in itertools.product(*toxicity.lattice(token))}
+    assert said in paths and reading_score(said, model) == pytest.approx(max(reading_score(p, model) for p in paths))
+
+
+def test_long_stretches_and_currencies():
+    model = small_model()
+    for before in range(40):
+        token = " ".join("good" * 10)[: 2 * before] + "s t u p i d" + " " + " ".join("hello" * 30)
+        low = ("x9 " + token + " ends here").encode()
+        raw = np.frombuffer(low, np.uint8)
+        r = toxicity.Restorer(model)
+        assert any("stupid" in t for t in r.restored(raw, arrowtext.fold_case(raw), np.array([0, len(low)]))[1])
+    for text, want in (("an id€ot, that", "id€ot,"), ("a £etter by", "£etter"), ("a {lass here", "{lass"), ("“good” people’s", None), ("20€ or £5", None), ("i € o t", "i € o t")):
+        raw = np.frombuffer(text.encode(), np.uint8)
+        spans = toxicity.Restorer.suspects(raw, arrowtext.fold_case(raw), np.array([0, len(raw)]))
+        assert [raw[a:b].tobytes().decode() for a, b in spans] == ([want] if want else [])
+    assert toxicity.decode("p€opl€", model) == "people"
+    began = time.time()
+    assert len(toxicity.decode("s t u p 1 d " * 3000, model)) > 10_000
+    assert time.time() - began < 20
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.lists(st.sampled_from(["bad", "badly", "Bäd", "word", "wording", "x", "bad-word", "é", "of"]), max_size=12), min_size=1, max_size=6), st.randoms())
+def test_word_values_against_words_one_by_one(texts, rng):
+    column = pa.array([" ".join(t) for t in texts])
+    raw, offsets = arrowtext.column_bytes(column)
+    low = arrowtext.fold_case(raw)
+    f = toxicity.Features(low, offsets)
+    keys = np.unique(np.concatenate([*f.levels, f.gram, np.array([5], np.uint64)]))
+    known = np.sort(np.array(rng.sample(keys.tolist(), rng.randint(1, len(keys))), np.uint64))
+    change = [rng.uniform(-1, 2) for _ in known]
+    weights = toxicity.Weights(known, change, [c > 0.5 for c in change])
+    hot = np.zeros(1 << toxicity._BITS, bool)
+    hot[toxicity._bit(weights.hot)] = True
+    of, hot_keys, want = dict(zip(known.tolist(), change)), set(weights.hot.tolist()), {}
+    for i, d in enumerate(f.doc.tolist()):
+        levels, grams_ = [h[i] for h in map(np.ndarray.tolist, f.levels)], f.gram[f.gram_word == i].tolist()
+        if hot_keys.isdisjoint(levels + grams_):
+            continue
+        value = next((of[h] for h in levels if h in of), max([0.0, *(of[g] for g in grams_ if g in hot_keys)]))
+        if value > 0:
+            want[d, levels[0]] = value
+    doc, value = toxicity.word_values(low, offsets, weights, hot)
+    assert sorted(zip(doc.tolist(), value.tolist())) == sorted((d, v) for (d, _), v in want.items())
+
+
+def test_decoding():
+    model = small_model()
     for hidden, word in (("1d10t", "idiot"), ("s.t.u.p.i.d", "stupid"), ("h e l l o", "hello"), ("gooood", "good"), ("p30pl3", "people"), ("class", "class")):
         assert toxicity.decode(hidden, model) == word
     low = b"a cl455 x 1d10t. plain words h e l l o end"
