@@ -1,3 +1,4 @@
+import html.parser
 import re
 import time
 
@@ -47,6 +48,94 @@ def test_pages(spark):
     assert he.extract_pages(df.limit(0)).count() == 0
 
 
+def slow_second_pass(first):
+    """The rules read literally: from each block outwards, one neighbour after the other."""
+
+    def neighbour(labels, i, step, kinds):
+        i += step
+        while 0 <= i < len(labels):
+            if labels[i] in kinds:
+                return labels[i]
+            i += step
+        return "bad"
+
+    short = list(first)
+    for i, label in enumerate(first):
+        if label == "short":
+            x, y = (neighbour(first, i, step, ("good", "bad")) for step in (-1, 1))
+            near = neighbour(first, i, -1 if x == "bad" else 1, ("good", "bad", "near")) == "near"
+            short[i] = x if x == y else "good" if near else "bad"
+    return [x if x != "near" else "good" if "good" in [neighbour(short, i, step, ("good", "bad")) for step in (-1, 1)] else "bad" for i, x in enumerate(short)]
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.lists(st.sampled_from(["good", "bad", "near", "short"]), max_size=14))
+def test_second_pass_against_looking_outwards(first):
+    assert he.settle(first) == slow_second_pass(first)
+
+
+class Slow(html.parser.HTMLParser):
+    """Blocks from the standard library's parser, text node by text node."""
+
+    def __init__(self):
+        super().__init__()
+        self.out, self.text, self.linked, self.link = [], "", 0, False
+
+    def cut(self):
+        if self.text.strip():
+            t = " ".join(self.text.split())
+            self.out.append((t, min(self.linked, len(t))))
+        self.text, self.linked = "", 0
+
+    def handle_starttag(self, tag, attrs):
+        self.link |= tag == "a"
+        if tag in he._BLOCKS:
+            self.cut()
+        if tag == "br":
+            self.text += " "
+
+    def handle_endtag(self, tag):
+        self.link &= tag != "a"
+        if tag in he._BLOCKS:
+            self.cut()
+
+    def handle_data(self, data):
+        self.text += data
+        self.linked += len(" ".join(data.split())) if self.link else 0
+
+
+PIECES = st.recursive(
+    st.sampled_from(["word", " of the ", "x\n y", "a long piece of text", "<br>", "<b>bold</b>", "<script>if (a<b) { }</script>", "<style>p {}</style>", "<img alt='a > b'>"]),
+    lambda inner: st.builds(lambda tag, kids: f"<{tag} class='k' title=\"a 'b'\">{''.join(kids)}</{tag}>", st.sampled_from(["p", "div", "a", "li", "span", "h2", "td"]), st.lists(inner, max_size=4)),
+    max_leaves=12,
+)
+
+
+@settings(max_examples=300, deadline=None)
+@given(PIECES)
+def test_blocks_against_another_parser(page):
+    slow = Slow()
+    slow.feed(re.sub(r"<(script|style)>.*?</\1>", " ", page))
+    slow.close()
+    slow.cut()
+    assert [(b.text, b.linked) for b in he.blocks(page)] == slow.out
+
+
+def test_links_titles_and_other_languages():
+    linked = f"<a href='x'><p>{LONG}</p></a><p>{LONG}</p>"
+    assert [x for _, x in labels(linked)] == ["bad", "good"]
+    assert he.extract(f"<!-- <title>no</title> --><script>'<title>no</title>'</script><title>The &lt;one</title><p>{LONG}", SETS)[0] == "The <one"
+    russian = "Это длинный текст страницы, который читатель хотел бы прочитать целиком, потому что он достаточно велик и не содержит ссылок. " * 2
+    assert he.extract(f"<div><a>Ссылка на другую страницу этого сайта, довольно длинная, чтобы не считаться короткой</a></div><p>{russian}</p>", SETS)[1] == russian.strip()
+
+
+def test_pages_of_a_megabyte():
+    for page in ("<a " * 300_000 + '"', "<p>short</p>" * 80_000, "<script " * 120_000 + "'", '<a "' * 250_000, "<!--" * 250_000, "<" * 10**6, "<p>" * 300_000, "<title>" * 140_000, "&amp" * 250_000, "<a><p>x</p>" * 90_000):
+        began = time.process_time()
+        he.extract(page, SETS)
+        assert time.process_time() - began < 12, page[:20]
+
+
 KEY = "9f8e7d6c5b4a39281706f5e4d3c2b1a0"
 
 
