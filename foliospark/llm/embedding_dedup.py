@@ -16,8 +16,9 @@ Nothing is approximate: every pair within the threshold ends in one group.
 
 Defined cases: rows without vec_id, null, empty or zero vectors, vectors with null, NaN or infinite
 elements, and vectors of another length than most of the table (of two equally frequent lengths the
-lesser counts) are in no group.  Equal vectors are one point.  Rows that repeat a vec_id are one
-member.  Other columns are not read.
+lesser counts) are in no group.  Equal vectors are one point.  Rows that repeat a vec_id with an equal vector are one
+member; with other vectors they may be members of several groups.  Ids may be of any type that has an order.  An empty
+table has no groups.  Other columns are not read.
 """
 
 from __future__ import annotations
@@ -43,6 +44,7 @@ def _matrix(column, d: int) -> np.ndarray:
     if isinstance(column, pa.ChunkedArray):
         column = column.combine_chunks()
     x = np.asarray(column.flatten()).astype(np.float64).reshape(-1, d)
+    x = x / np.abs(x).max(axis=1, keepdims=True, initial=0)  # else squares of very small or large elements vanish or overflow
     return x / np.linalg.norm(x, axis=1, keepdims=True)
 
 
@@ -78,11 +80,11 @@ def _turner(axes: np.ndarray, eps: float, leading: int):
 
     def run(batches):
         for b in batches:
-            x = (_matrix(b.column(1), d) @ axes).astype(np.float32)
+            x = (_matrix(b.column(3), d) @ axes).astype(np.float32)
             cell = np.clip(np.floor(x[:, :leading] / eps) + 128, 0, 255).astype(np.uint8)
             yield pa.RecordBatch.from_arrays(
-                [b.column(0), pa.array([r.tobytes() for r in cell], pa.binary()), pa.array([r.tobytes() for r in x], pa.binary())],
-                names=["rep", "cell", "x"],
+                [*b.columns[:3], pa.array([r.tobytes() for r in cell], pa.binary()), pa.array([r.tobytes() for r in x], pa.binary())],
+                names=["node", "h1", "h2", "cell", "x"],
             )
 
     return run
@@ -126,27 +128,32 @@ def near_tiles(boxes: DataFrame, tiles: int, eps: float) -> DataFrame:
 
 
 class _Forest:
-    def __init__(self, n: int):
-        self.up, self.label, self.edges = list(range(n)), np.arange(n), []
+    """Sets of rows under a growing list of edges; `edges` has only those that joined two sets."""
 
-    def root(self, i: int) -> int:
-        while self.up[i] != i:
-            self.up[i] = self.up[self.up[i]]
-            i = self.up[i]
-        return i
+    def __init__(self, n: int):
+        self.label, self.edges = np.arange(n), []
 
     def join(self, i: np.ndarray, j: np.ndarray) -> None:
         apart = self.label[i] != self.label[j]
         i, j = i[apart], j[apart]
         if not len(i):
             return
-        _, one = np.unique(self.label[i] * len(self.up) + self.label[j], return_index=True)
-        for a, b in zip(i[one].tolist(), j[one].tolist()):
-            x, y = self.root(a), self.root(b)
+        _, one = np.unique(self.label[i] * len(self.label) + self.label[j], return_index=True)
+        up: dict[int, int] = {}
+
+        def root(x: int) -> int:
+            while up.get(x, x) != x:
+                up[x] = x = up.get(up[x], up[x])
+            return x
+
+        for a, b, la, lb in zip(i[one].tolist(), j[one].tolist(), self.label[i[one]].tolist(), self.label[j[one]].tolist()):
+            x, y = root(la), root(lb)
             if x != y:
-                self.up[max(x, y)] = min(x, y)
+                up[max(x, y)] = min(x, y)
                 self.edges.append((a, b))
-        self.label = np.array([self.root(k) for k in range(len(self.up))])
+        to = np.arange(len(self.label))
+        to[list(up)] = [root(x) for x in list(up)]
+        self.label = to[self.label]
 
 
 def join_sequences(x: np.ndarray, y: np.ndarray | None, eps: float, threshold: float) -> list[tuple[int, int]]:
@@ -189,7 +196,7 @@ def join_sequences(x: np.ndarray, y: np.ndarray | None, eps: float, threshold: f
 
 def _tile_join(eps: float, threshold: float):
     def run(t: pa.Table) -> pa.Table:
-        tile, ids = np.asarray(t.column("tile")), np.asarray(t.column("rep"))
+        tile, ids = np.asarray(t.column("tile")), np.asarray(t.column("node"))
         a, b = int(t.column("a")[0].as_py()), int(t.column("b")[0].as_py())
         cells, points = np.array(t.column("cell").to_pylist(), object), _points(t.column("x"))
         rows = [np.flatnonzero(tile == k) for k in ((a,) if a == b else (a, b))]
@@ -204,20 +211,20 @@ def _tile_join(eps: float, threshold: float):
 
 def near_duplicate_vectors(vectors: DataFrame, threshold: float = THRESHOLD, leading: int = LEADING, tile: int = TILE) -> DataFrame:
     """(vec_id, group_id) of every vector that has a near duplicate; group_id is the least vec_id of its group."""
-    kind = vectors.schema["vec_id"].dataType
-    good = F.forall("embedding", lambda v: v.isNotNull() & (F.abs(v) < F.lit(1e30))) & F.exists("embedding", lambda v: F.abs(v) > F.lit(1e-15))
-    src = vectors.where("vec_id is not null and size(embedding) > 0").where(good).select(F.col("vec_id").cast("bigint").alias("vec_id"), F.col("embedding").cast("array<double>").alias("embedding"))
+    finite = F.forall("embedding", lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) < F.lit(float("inf"))))
+    src = vectors.where("vec_id is not null and size(embedding) > 0").select("vec_id", F.col("embedding").cast("array<double>").alias("embedding"))
+    src = src.where(finite & F.exists("embedding", lambda v: v != 0))
     most = src.groupBy(F.size("embedding").alias("d")).agg(F.count("*").alias("n")).orderBy(F.desc("n"), "d").first()
     d = most.d if most else 1
     src = src.where(F.size("embedding") == d)
     eps = math.sqrt(2 * (1 - threshold))
 
     members = src.select("vec_id", "embedding", F.xxhash64("embedding").alias("h1"), F.hash("embedding").alias("h2"))
-    points = members.groupBy("h1", "h2").agg(F.min("vec_id").alias("rep"), F.first("embedding").alias("embedding"))
+    points = members.groupBy("h1", "h2").agg(F.first("embedding").alias("embedding")).withColumn("node", F.monotonically_increasing_id())
     axes = principal_axes(src, d)
-    turned = written(points.select("rep", "embedding").mapInArrow(_turner(axes, eps, leading), "rep bigint, cell binary, x binary").dropDuplicates(["rep"]), "turned")
+    turned = written(points.select("node", "h1", "h2", "embedding").mapInArrow(_turner(axes, eps, leading), "node bigint, h1 bigint, h2 int, cell binary, x binary"), "turned")
     tiles = max(1, -(-turned.count() // tile))
-    sequence = written(turned.repartitionByRange(tiles, "cell", "rep").sortWithinPartitions("cell", "rep").withColumn("tile", F.spark_partition_id()), "sequence")
+    sequence = written(turned.select("node", "cell", "x").repartitionByRange(tiles, "cell", "node").sortWithinPartitions("cell", "node").withColumn("tile", F.spark_partition_id()), "sequence")
 
     boxes = sequence.select("tile", "x").mapInArrow(_boxes, "node int, axis int, lo float, hi float").groupBy("node", "axis").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"))
     pairs = written(near_tiles(written(boxes, "boxes"), tiles, eps), "tiles")
@@ -226,7 +233,7 @@ def near_duplicate_vectors(vectors: DataFrame, threshold: float = THRESHOLD, lea
     edges = left.unionByName(right).groupBy("a", "b").applyInArrow(_tile_join(eps, threshold), "a bigint, b bigint")
     label = components(edges)
 
-    group = members.groupBy("h1", "h2").agg(F.min("vec_id").alias("rep")).join(label, F.col("rep") == F.col("node"), "left").select("h1", "h2", F.coalesce("label", "rep").alias("group_id"))
-    found = members.select("vec_id", "h1", "h2").distinct().join(group, ["h1", "h2"]).groupBy("vec_id").agg(F.min("group_id").alias("group_id"))
-    several = found.groupBy("group_id").agg(F.count("*").alias("n")).where("n > 1").select("group_id")
-    return found.join(several, "group_id").select(F.col("vec_id").cast(kind).alias("vec_id"), F.col("group_id").cast(kind).alias("group_id"))
+    group = turned.select("node", "h1", "h2").join(label, "node", "left").select("h1", "h2", F.coalesce("label", "node").alias("label"))
+    found = members.select("vec_id", "h1", "h2").distinct().join(group, ["h1", "h2"]).select("vec_id", "label").distinct()
+    several = found.groupBy("label").agg(F.count("*").alias("n"), F.min("vec_id").alias("group_id")).where("n > 1").select("label", "group_id")
+    return found.join(several, "label").select("vec_id", "group_id")

@@ -121,6 +121,12 @@ def test_embedding_groups_against_all_pairs(spark, monkeypatch):
     assert ed.near_duplicate_vectors(spark.createDataFrame([], "vec_id int, embedding array<float>")).count() == 0
 
 
+def test_embeddings_with_ids_of_strings_and_of_any_scale(spark):
+    rows = [("b", [1.0, 2.0]), ("a", [2e-20, 4e-20]), ("c", [1e300, 2e300]), ("d", [2.0, -1.0]), ("e", [float("inf"), 1.0]), ("b", [2.0, -1.0]), ("f", [-0.0, 0.0])]
+    got = ed.near_duplicate_vectors(spark.createDataFrame(rows, "vec_id string, embedding array<double>")).collect()
+    assert sorted(map(tuple, got)) == [("a", "a"), ("b", "a"), ("b", "b"), ("c", "a"), ("d", "b")]
+
+
 def test_sequences_with_small_intervals(monkeypatch):
     monkeypatch.setattr(ed, "BASE", 4)
     rng = np.random.default_rng(2)
