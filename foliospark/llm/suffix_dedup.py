@@ -4,11 +4,12 @@
    anchor, so equal passages have equal anchors, and every passage of at least
    ``min_words`` words holds an anchor with `PREFIX` words of it behind it.  Only suffixes that
    begin at anchors are sorted, about 2 in `WINDOW` + 1 of all.
-2. A suffix is compared by `PREFIX` words, as one byte a word, before them two bytes of a hash
+2. A suffix is compared by `PREFIX` words, as one byte a word, before them four bytes of a hash
    of the anchor's 4-gram (so that ranges of the order are of even size), behind them
    a 64-bit hash of all of them (so that equal keys mean equal words).
-3. Each task sorts its suffixes into a run, cuts it by ranges of the order and front-codes each
-   piece: for every suffix the length it shares with its predecessor, and only the rest.
+3. Each task sorts its suffixes into runs of about `RUN`.  Of suffixes of a run with equal keys and equal passages around them
+   only the first goes on, however often a passage is copied; the others are kept aside as its members.  The run is cut by ranges
+   of the order and front-coded: for every suffix the length it shares with its predecessor, and only the rest.
 4. The pieces of a range meet in one task.  A loser tree merges them.  Each loser keeps the
    length it shares with the suffix that beat it: of two candidates the one that shares
    more with the last winner comes first, and only where both share the same is
@@ -16,13 +17,14 @@
 5. Suffixes of one key may repeat.  Each carries two bytes of the hash of every word beside its key that the
    passages of `min_words` words which gave the anchor hold.  Each of these passages points to the earliest
    equal one of the key's suffixes in the order (doc_id, word), so every passage of `min_words` words that
-   an earlier place has is found, whatever other places share of it.
+   an earlier place has is found, whatever other places share of it.  Members have the sources of their first, and it
+   itself where it has none.
 6. Passages that overlap and have the same source and offset make chains: repeated passages.  Chains are
    extended to both sides, word by word, up to `min_words` words, where a part of a passage has an earlier source.
 
 Defined cases: rows without doc_id, and null or empty texts, repeat nothing.  Of rows that repeat a doc_id the
-least text counts.  A passage may repeat within one document; its first occurrence is the source.
-Other columns are not read.
+least text counts.  A passage may repeat within one document; its first occurrence is the source.  Ids may be of any
+type that has an order.  An empty table has no passages.  Other columns are not read.
 """
 
 from __future__ import annotations
@@ -31,6 +33,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .arrowtext import U64, gram_hashes, hashed_words, mix, powers, slices, span_hashes
 from .shared import one_text_per_id, written
@@ -39,7 +42,8 @@ MIN_WORDS = 50
 PREFIX = 30
 GRAM = 4
 RUN = 400_000
-_KEY = 2 + PREFIX + 8
+_LEAD = 4
+_KEY = _LEAD + PREFIX + 8
 
 
 def window(min_words: int) -> int:
@@ -81,11 +85,11 @@ def anchors(words: np.ndarray, first: np.ndarray, min_words: int) -> tuple[np.nd
 def suffix_keys(words: np.ndarray, pos: np.ndarray, grams: np.ndarray) -> np.ndarray:
     """One row of _KEY bytes for each suffix; the order of rows as bytes is the order of suffixes."""
     key = np.empty((len(pos), _KEY), np.uint8)
-    lead = (mix(grams ^ U64(0x5BF03635)) >> U64(48)).astype(">u2")
-    key[:, :2] = lead.view(np.uint8).reshape(-1, 2)
+    lead = (mix(grams ^ U64(0x5BF03635)) >> U64(32)).astype(">u4")
+    key[:, :_LEAD] = lead.view(np.uint8).reshape(-1, _LEAD)
     code = (words >> U64(23)).astype(np.uint8)
-    key[:, 2 : 2 + PREFIX] = code[pos[:, None] + np.arange(PREFIX)]
-    key[:, 2 + PREFIX :] = span_hashes(words, pos, pos + PREFIX).astype(">u8").view(np.uint8).reshape(-1, 8)
+    key[:, _LEAD : _LEAD + PREFIX] = code[pos[:, None] + np.arange(PREFIX)]
+    key[:, _LEAD + PREFIX :] = span_hashes(words, pos, pos + PREFIX).astype(">u8").view(np.uint8).reshape(-1, 8)
     return key
 
 
@@ -163,20 +167,53 @@ def _sorted_rows(keys: np.ndarray, doc: np.ndarray, pos: np.ndarray) -> np.ndarr
     return order
 
 
+def _alike(keys: np.ndarray, reach: np.ndarray, sides: np.ndarray) -> np.ndarray:
+    """For each row of sorted suffixes the first with an equal key, reach and sides; sides by a 64-bit hash."""
+    first = np.arange(len(keys))
+    tie = np.zeros(len(keys), bool)
+    tie[1:] = (keys[1:] == keys[:-1]).all(1)
+    if not tie.any():
+        return first
+    group = np.cumsum(~tie)
+    both = tie.copy()
+    both[:-1] |= tie[1:]
+    at = np.flatnonzero(both)
+    p, _ = powers(sides.shape[1] + 2)
+    values = np.concatenate([sides[at], reach[at].astype(np.uint32)], axis=1).astype(U64) + U64(1)
+    h = mix((values * p[: values.shape[1]]).sum(1, dtype=U64))
+    order = np.lexsort((h, group[at]))  # stable: equal ones stay in the order of their places
+    g, x = group[at][order], h[order]
+    new = np.ones(len(order), bool)
+    new[1:] = (g[1:] != g[:-1]) | (x[1:] != x[:-1])
+    first[at[order]] = at[order][np.maximum.accumulate(np.where(new, np.arange(len(order)), 0))]
+    return first
+
+
 def _run_maker(min_words: int, ranges: int):
     def cut(parts):
         keys, doc, pos, reach, sides = (np.concatenate([p[k] for p in parts]) for k in range(5))
         order = _sorted_rows(keys, doc, pos)
-        keys, doc, pos, reach = keys[order], doc[order], pos[order], reach[order]
-        lead = keys[:, 0].astype(np.int64) << 8 | keys[:, 1]
-        part = lead * ranges >> 16
-        at = np.searchsorted(part, np.arange(ranges + 1))
-        rows = [k for k in range(ranges) if at[k] < at[k + 1]]
+        keys, doc, pos, reach, sides = keys[order], doc[order].astype(np.int64), pos[order].astype(np.int32), reach[order], sides[order]
+        first = _alike(keys, reach, sides)
+        own = first == np.arange(len(first))
+        member = np.flatnonzero(~own)
+        several = np.zeros(len(first), np.int32)
+        several[first[member]] = 1
+        kept = [(doc[member], pos[member], doc[first[member]], pos[first[member]])]
+        keys, doc, pos, sides = keys[own], doc[own], pos[own], sides[own]
+        reach = np.concatenate([reach[own], several[own][:, None]], axis=1).astype(np.int32)
+        lead = np.ascontiguousarray(keys[:, :_LEAD]).view(">u4").ravel().astype(np.int64)
+        at = np.searchsorted(lead * ranges >> 32, np.arange(ranges + 1))
+        rows = np.flatnonzero(at[:-1] < at[1:]).tolist()
         out = [[], [], [], [], [], []]
         for k in rows:
             s = slice(at[k], at[k + 1])
             shared, rest = front_code(keys[s])
-            for o, v in zip(out, (shared.tobytes(), rest.tobytes(), doc[s].astype(np.int64).tobytes(), pos[s].astype(np.int32).tobytes(), reach[s].tobytes(), sides[order[s]].tobytes())):
+            for o, v in zip(out, (shared, rest, doc[s], pos[s], reach[s], sides[s])):
+                o.append(v.tobytes())
+        for d, p, fd, fp in kept if len(member) else ():
+            rows.append(-1)
+            for o, v in zip(out, (b"", fd.tobytes(), d.tobytes(), p.tobytes(), fp.tobytes(), b"")):
                 o.append(v)
         return pa.RecordBatch.from_arrays([pa.array(rows, pa.int32()), *(pa.array(o, pa.binary()) for o in out)], names=["part", "shared", "rest", "doc", "pos", "reach", "sides"])
 
@@ -199,6 +236,15 @@ def _run_maker(min_words: int, ranges: int):
     return run
 
 
+def _member_reader(batches):
+    """(doc_id, pos, first_doc, first_pos) of the suffixes that runs kept aside."""
+    for b in batches:
+        get = {c: b.column(i) for i, c in enumerate(b.schema.names)}
+        for d, p, fd, fp in zip(*(get[c] for c in ("doc", "pos", "rest", "reach"))):
+            cols = [np.frombuffer(x.as_buffer(), kind).astype(np.int64) for x, kind in ((d, np.int64), (p, np.int32), (fd, np.int64), (fp, np.int32))]
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], names=["doc_id", "pos", "first_doc", "first_pos"])
+
+
 class LoserTree:
     """Merges sorted runs of byte strings, each with the length every string shares with the one before it.
 
@@ -274,16 +320,19 @@ def _merger(min_words: int):
             bounds = np.append(head, len(s))
             docs.append((np.frombuffer(d, np.int64), bounds))
             poss.append(np.frombuffer(p, np.int32))
-            reaches.append(np.frombuffer(reach, np.int32).reshape(len(s), 2))
+            reaches.append(np.frombuffer(reach, np.int32).reshape(len(s), 3))
             sidess.append(np.frombuffer(sides, np.uint16).reshape(len(s), -1))
         tree = list(LoserTree(keys, shared))
         runs, index, lcp = (np.array([x[k] for x in tree], np.int64) for k in range(3))
         group = np.cumsum(lcp < _KEY)
         cols = [[], [], [], [], []]
-        several = np.zeros(group[-1] + 1, np.int64)
+        several = np.zeros(group[-1] + 1, np.int64)  # suffixes of a key, or 2 and more where one has members
         for r in range(len(keys)):
             mine = runs == r
-            several += np.bincount(group[mine], np.diff(docs[r][1])[index[mine]], len(several)).astype(np.int64)
+            bounds = docs[r][1]
+            more = np.concatenate([[0], np.cumsum(reaches[r][:, 2])])
+            size = np.diff(bounds) + np.diff(more[bounds])
+            several += np.bincount(group[mine], size[index[mine]], len(several)).astype(np.int64)
         for r in range(len(keys)):
             mine = runs == r
             mine[mine] = several[group[mine]] > 1
@@ -298,14 +347,29 @@ def _merger(min_words: int):
         cuts = [0]
         while cuts[-1] < len(group):
             cuts.append(int(np.searchsorted(group, group[min(cuts[-1] + 100_000, len(group)) - 1], "right")))
-        found = [[np.empty(0, np.int64)] for _ in range(5)]
+        found = [[np.empty(0, np.int64)] for _ in range(6)]
         for lo, hi in zip(cuts, cuts[1:]):
             s = slice(lo, hi)
+            d, p, flag = doc[s], pos[s], reach[s, 2] > 0
             suffix, source, least, most = earliest_passages(group[s], reach[s, 0], reach[s, 1], sides[order[s]])
-            d, p = doc[s], pos[s]
-            for o, v in zip(found, (d[suffix], p[suffix] - most, p[suffix] - least + min_words, d[source], p[source] - most)):
+            for o, v in zip(found, (d[suffix], p[suffix], least, most, d[source], p[source])):
+                o.append(v)
+            # suffixes with members: what has no earlier source has itself as the members' source
+            firsts = np.flatnonzero(flag)
+            span = np.arange(reach[s, 1].max(initial=0) + 1)
+            bare = (span >= reach[s, 0][firsts][:, None]) & (span <= reach[s, 1][firsts][:, None])
+            row = np.full(len(d), -1, np.int64)
+            row[firsts] = np.arange(len(firsts))
+            mine = flag[suffix]
+            size = most[mine] - least[mine] + 1
+            at = np.repeat(least[mine] - (np.cumsum(size) - size), size) + np.arange(size.sum())
+            bare[np.repeat(row[suffix[mine]], size), at] = False
+            edge = np.diff(np.pad(bare, ((0, 0), (1, 1))).astype(np.int8), axis=1)
+            i, a = np.nonzero(edge > 0)
+            _, e = np.nonzero(edge < 0)
+            for o, v in zip(found, (d[firsts[i]], p[firsts[i]], a, e - 1, d[firsts[i]], p[firsts[i]])):
                 o.append(v)
-        return pa.table([pa.array(np.concatenate(o)) for o in found], names=["doc_id", "a", "b", "kept_doc_id", "kept_a"])
+        return pa.table([pa.array(np.concatenate(o).astype(np.int64)) for o in found], names=["doc_id", "pos", "least", "most", "kept_doc_id", "kept_pos"])
 
     return run
 
@@ -352,11 +416,21 @@ def repeated_passages(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     if min_words <= PREFIX:
         raise ValueError(f"min_words must be above {PREFIX}")
     kind = docs.schema["doc_id"].dataType
-    src = one_text_per_id(docs.withColumn("doc_id", F.col("doc_id").cast("bigint")))
-    ranges = min(1 << 15, max(4, 4 * docs.select("doc_id").rdd.getNumPartitions()))
-    runs = src.mapInArrow(_run_maker(min_words, ranges), "part int, shared binary, rest binary, doc binary, pos binary, reach binary, sides binary")
-    repeats = runs.groupBy("part").applyInArrow(_merger(min_words), "doc_id bigint, a bigint, b bigint, kept_doc_id bigint, kept_a bigint")
-    repeats = written(repeats, "repeats")
+    src, ids = one_text_per_id(docs), None
+    if isinstance(kind, T.IntegralType):
+        src = src.withColumn("doc_id", F.col("doc_id").cast("bigint"))
+    else:  # numbers in the order of the ids stand for them
+        parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        ids = written(src.select("doc_id").repartitionByRange(parts, "doc_id").sortWithinPartitions("doc_id").withColumn("number", F.monotonically_increasing_id()), "ids")
+        src = src.join(ids, "doc_id").select(F.col("number").alias("doc_id"), "text")
+    ranges = max(4, 4 * docs.select("doc_id").rdd.getNumPartitions())
+    runs = written(src.mapInArrow(_run_maker(min_words, ranges), "part int, shared binary, rest binary, doc binary, pos binary, reach binary, sides binary"), "runs")
+    sources = runs.where("part >= 0").groupBy("part").applyInArrow(_merger(min_words), "doc_id bigint, pos bigint, least bigint, most bigint, kept_doc_id bigint, kept_pos bigint")
+    sources = written(sources, "sources")
+    members = runs.where("part < 0").mapInArrow(_member_reader, "doc_id bigint, pos bigint, first_doc bigint, first_pos bigint")
+    of_members = members.join(sources.withColumnsRenamed({"doc_id": "first_doc", "pos": "first_pos"}), ["first_doc", "first_pos"]).select(sources.columns)
+    every = sources.where("doc_id <> kept_doc_id or pos <> kept_pos").unionByName(of_members)
+    repeats = every.select("doc_id", (F.col("pos") - F.col("most")).alias("a"), (F.col("pos") - F.col("least") + min_words).alias("b"), "kept_doc_id", (F.col("kept_pos") - F.col("most")).alias("kept_a"))
 
     line = Window.partitionBy("doc_id", "kept_doc_id", "offset").orderBy("a", "b")
     chained = repeats.withColumn("offset", F.col("a") - F.col("kept_a"))
@@ -377,4 +451,9 @@ def repeated_passages(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     kept = contexts.where("side = 1").select("chain", F.col("before").alias("kept_before"), F.col("after").alias("kept_after"))
     found = chains.join(own, "chain").join(kept, "chain").mapInArrow(_extender(), "doc_id bigint, start_word bigint, end_word bigint, kept_doc_id bigint, kept_start_word bigint")
     found = found.groupBy("doc_id", "start_word", "end_word").agg(F.min(F.struct("kept_doc_id", "kept_start_word")).alias("kept"))
-    return found.select(F.col("doc_id").cast(kind).alias("doc_id"), "start_word", "end_word", F.col("kept.kept_doc_id").cast(kind).alias("kept_doc_id"), "kept.kept_start_word")
+    found = found.select("doc_id", "start_word", "end_word", "kept.kept_doc_id", "kept.kept_start_word")
+    if ids is None:
+        return found.withColumns({c: F.col(c).cast(kind) for c in ("doc_id", "kept_doc_id")})
+    for c in ("doc_id", "kept_doc_id"):
+        found = found.join(ids.select(F.col("number").alias(c), F.col("doc_id").alias(f"_{c}")), c).drop(c).withColumnRenamed(f"_{c}", c)
+    return found.select("doc_id", "start_word", "end_word", "kept_doc_id", "kept_start_word")

@@ -88,6 +88,18 @@ def test_passage_beyond_what_the_earliest_copy_holds(spark):
     assert {tuple(r) for r in sd.repeated_passages(docs).collect()} == want
 
 
+def test_passages_copied_many_times_with_ids_of_strings(spark):
+    word = iter(range(10**6))
+    new = lambda n: [f"w{next(word)}" for _ in range(n)]
+    passage, other = new(120), new(60)
+    docs = [(f"d{i:03}", new(i % 7) + passage + (new(3) + other if i % 5 == 2 else new(i % 4))) for i in range(120)]
+    want = {(f"d{i:03}", i % 7, i % 7 + 120, "d000", 0) for i in range(1, 120)}
+    want |= {(f"d{i:03}", i % 7 + 123, i % 7 + 183, "d002", 2 + 123) for i in range(7, 120, 5)}
+    docs = spark.createDataFrame([(i, " ".join(t)) for i, t in docs], "doc_id string, text string").repartition(2)
+    runs = sd.repeated_passages(docs)
+    assert {tuple(r) for r in runs.collect()} == want
+
+
 def test_passages_of_nothing(spark):
     assert sd.repeated_passages(spark.createDataFrame([], "doc_id int, text string")).count() == 0
     with pytest.raises(ValueError):
