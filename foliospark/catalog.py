@@ -2,43 +2,15 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from foliospark.functions import html, repetition, similarity, text
 from foliospark.operators import metrics, pages, windows
+from foliospark.plans import page_sets, series, text_rules  # noqa: F401  they register their queries
+from foliospark.plans.registry import ORACLE_SQL, QUERIES, literal, query, replaced, table  # noqa: F401
 from foliospark.sources import files
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLE_SQL: dict[str, str] = {}
-
-
-def query(sql: str | None = None):
-    def add(f):
-        QUERIES[f.__name__] = f
-        if sql:
-            ORACLE_SQL[f.__name__] = sql
-        return f
-
-    return add
-
-
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
-
-def _literal(s: str) -> str:
-    return "'" + s.replace("'", "''") + "'"
-
-
-def _replaced(expr: str, pairs: list[tuple[str, str]]) -> str:
-    for a, b in pairs:
-        expr = f"replace({expr}, {_literal(a)}, {_literal(b)})".replace("'\n'", "chr(10)")
-    return expr
-
-
 _PAIRS = r"""pairs AS (SELECT d.doc_id, d.lang, regexp_replace(d.text, '[^\x00-\x7F]', '?', 'g') AS pred, regexp_replace(b.text, '[^\x00-\x7F]', '?', 'g') AS truth
 FROM documents d JOIN benchmark b ON d.doc_id % (SELECT count(*) FROM benchmark) = b.item_id)"""
 
@@ -73,12 +45,12 @@ def linebreak_cleanup(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", F.md5(text.remove_pretty_linebreaks("text")).alias("cleaned"))
 
 
-@query(f"SELECT doc_id, md5({_replaced('text', text.LIGATURES.items())}) AS fixed FROM documents")
+@query(f"SELECT doc_id, md5({replaced('text', text.LIGATURES.items())}) AS fixed FROM documents")
 def ligature_fix(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", F.md5(text.replace_ligatures("text")).alias("fixed"))
 
 
-@query(f"SELECT doc_id, lower({_replaced('text', text.SPECIAL)}) AS plain FROM documents")
+@query(f"SELECT doc_id, lower({replaced('text', text.SPECIAL)}) AS plain FROM documents")
 def strip_special_chars(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", text.strip_special_chars("text").alias("plain"))
 
@@ -88,7 +60,7 @@ def digits_removed(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", text.remove_numbers("text").alias("plain"))
 
 
-@query(f"SELECT doc_id, {_replaced(_replaced('text', text.SYNONYMS), text.STYLES)} AS tex FROM documents")
+@query(f"SELECT doc_id, {replaced(replaced('text', text.SYNONYMS), text.STYLES)} AS tex FROM documents")
 def latex_normalise(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", text.remove_styles(text.latex_synonyms("text")).alias("tex"))
 
@@ -115,7 +87,7 @@ def short_line_filter(spark, sf_dir):
 
 
 @query(f"""WITH w AS (SELECT source, unnest(list_filter(string_split(lower(text), ' ')[1:10], lambda x: x <> '')) AS word FROM documents), c AS (SELECT source, word, count(*) AS n FROM w GROUP BY ALL), s AS (SELECT source, count(*) AS pages FROM documents GROUP BY source)
-SELECT source, word, round(n / pages, 6) AS share FROM c JOIN s USING (source) WHERE word NOT IN ({', '.join(map(_literal, pages.HEADER_STOP))}) AND NOT starts_with(word, chr(92)) AND n >= 0.02 * pages""")
+SELECT source, word, round(n / pages, 6) AS share FROM c JOIN s USING (source) WHERE word NOT IN ({', '.join(map(literal, pages.HEADER_STOP))}) AND NOT starts_with(word, chr(92)) AND n >= 0.02 * pages""")
 def header_word_df(spark, sf_dir):
     return pages.header_words(table(spark, sf_dir, "documents"), "source", "text", share=0.02)
 

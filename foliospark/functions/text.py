@@ -12,14 +12,19 @@ def _col(c: Column | str) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
+def let(value: Column, f) -> Column:
+    """f(value) with the value evaluated once, however often f uses it."""
+    return F.element_at(F.transform(F.array(value), f), 1)
+
+
 def replace_all(c: Column | str, pairs: list[tuple[str, str]]) -> Column:
     """Literal replacements, one after the other."""
     return reduce(lambda x, p: F.replace(x, F.lit(p[0]), F.lit(p[1])), pairs, _col(c))
 
 
 def substitute(c: Column | str, *rules: tuple[str, str]) -> Column:
-    """Regular-expression replacements, one after the other."""
-    return reduce(lambda x, r: F.regexp_replace(x, r[0], r[1]), rules, _col(c))
+    """Regular-expression replacements, one after the other; only a line feed ends a line."""
+    return reduce(lambda x, r: F.regexp_replace(x, "(?d)" + r[0], r[1]), rules, _col(c))
 
 
 def strip(c: Column | str) -> Column:
@@ -39,9 +44,18 @@ def replace_ligatures(c: Column | str) -> Column:
 
 
 def dehyphenate(c: Column | str) -> Column:
-    """Joins words that a hyphen at a line's end divides; lines lose the white space at their ends.
-    Exact where no line consists of one hyphenated word alone (then the edits of one line feed the next)."""
-    return substitute(c, (r"(?m)[ \t]+$", ""), (r"-\n(\S*)", "$1\n"))
+    """Joins words that a hyphen at a line's end divides; lines lose the white space at their ends.  A line that ends with a
+    hyphen gets the next line's first word, up to a blank, whether or not it lost its own to the line before."""
+
+    def joined(lines: Column) -> Column:
+        def line_of(line: Column, i: Column) -> Column:
+            after = F.get(lines, i + 1)
+            left = F.when((i > 0) & F.get(lines, i - 1).endswith("-"), F.substr(line, F.length(F.split_part(line, F.lit(" "), F.lit(1))) + 1)).otherwise(line)
+            return F.when(line.endswith("-") & after.isNotNull(), F.concat(F.left(left, F.greatest(F.length(left) - 1, F.lit(0))), F.split_part(after, F.lit(" "), F.lit(1)))).otherwise(left)
+
+        return F.transform(lines, line_of)
+
+    return F.array_join(let(F.split(substitute(c, (r"[\s&&[^\n]]+(?=\n|\z)", "")), "\n", -1), joined), "\n")
 
 
 # the order matters: blanks go before the commands that hold them, and braces before the markers
@@ -68,9 +82,8 @@ def clean_html_whitespace(c: Column | str) -> Column:
 
 def drop_trailing_blank(parts: Column | str) -> Column:
     """An array without the blank elements at its end."""
-    p = _col(parts)
-    kept = F.array_max(F.transform(F.sequence(F.lit(0), F.size(p)), lambda i: F.when((i > 0) & (F.trim(F.get(p, i - 1)) != ""), i).otherwise(0)))
-    return F.slice(p, 1, kept)
+    last = lambda p: F.array_max(F.transform(p, lambda x, i: F.when(F.trim(x) != "", i + 1).otherwise(0)))
+    return let(_col(parts), lambda p: F.slice(p, F.lit(1), F.coalesce(last(p), F.lit(0))))
 
 
 def surrounding_blanks(c: Column | str) -> Column:
@@ -120,6 +133,14 @@ def next_punctuation(c: Column | str, start: Column | int = 0) -> Column:
     return F.when(at > 0, at - 1 + start)
 
 
+def last_punctuation(c: Column | str, before: Column | int) -> Column:
+    """0-based place of the last of . ? ! and line break before `before`, or null; the first character is not looked at."""
+    x = _col(c)
+    head = F.substr(x, F.lit(2), F.greatest(F.least(F.lit(before) if isinstance(before, int) else before, F.length(x)) - 1, F.lit(0)))
+    at = F.regexp_instr(F.reverse(head), F.lit(r"[.?!\n]"))
+    return F.when(at > 0, F.length(head) - at + 1)
+
+
 ENVIRONMENTS = ("bmatrix", "pmatrix", "matrix", "tabular", "table")
 
 
@@ -130,10 +151,9 @@ def _count(c: Column, literal: str) -> Column:
 def close_environments(c: Column | str) -> Column:
     """Appends the ends of the LaTeX environments that are left open."""
     x = _col(c)
-    for env in ENVIRONMENTS:
-        missing = (_count(x, f"\\begin{{{env}}}") - _count(x, f"\\end{{{env}}}")).cast("int")
-        x = F.concat(x, F.repeat(F.lit(f"\\end{{{env}}}"), F.greatest(F.lit(0), missing)))
-    return x
+    missing = lambda x, env: (_count(x, f"\\begin{{{env}}}") - _count(x, f"\\end{{{env}}}")).cast("int")
+    # what one environment needs changes no count of another
+    return let(x, lambda x: F.concat(x, *(F.repeat(F.lit(f"\\end{{{env}}}"), F.greatest(F.lit(0), missing(x, env))) for env in ENVIRONMENTS)))
 
 
 def drop_trailing_title(c: Column | str) -> Column:
@@ -168,12 +188,11 @@ def normalise_tex(c: Column | str, inline: bool = True) -> Column:
     """One pair of delimiters off, comments, synonyms and styles normalised, delimiters of one kind on."""
     x = strip(c)
     x = strip(substitute(x, (r"^(?:\\\(|\\\[|\$\$|\$)", ""), (r"(?:\\\)|\\\]|\$\$|\$)\z", "")))
-    x2 = remove_styles(latex_synonyms(tex_one_line(x)))
     a, b = ("\\(", "\\)") if inline else ("\\[", "\\]")
-    return F.when(x == "", "").otherwise(F.concat(F.lit(a), x2, F.lit(b)))
+    return let(x, lambda x: F.when(x == "", "").otherwise(F.concat(F.lit(a), remove_styles(latex_synonyms(tex_one_line(x))), F.lit(b))))
 
 
-FIGURE = r"(?s)\[(FOOTNOTE|FIGURE|TABLE)(.*?)\](.*?)\[END\1\]"
+FIGURE = r"(?s)\[(FOOTNOTE|FIGURE|TABLE)([^\]]*+)\](.*?)\[END\1\]"
 
 
 def extract_figures(c: Column | str) -> Column:
@@ -181,8 +200,10 @@ def extract_figures(c: Column | str) -> Column:
     x = _col(c)
     parts = F.arrays_zip(*[F.regexp_extract_all(x, F.lit(FIGURE), F.lit(i)).alias(n) for i, n in ((1, "k"), (2, "i"), (3, "b"))])
     entries = F.transform(parts, lambda p: F.struct(F.concat(p["k"], p["i"]).alias("key"), strip(p["b"]).alias("value")))
-    last = F.filter(entries, lambda e, i: ~F.exists(F.slice(entries, i + 2, F.size(entries)), lambda o: o["key"] == e["key"]))
-    return F.map_from_entries(last)
+    # the last value of each key, keys in order
+    sort = F.array_sort(F.transform(entries, lambda e, i: F.struct(e["key"].alias("key"), i.alias("at"), e["value"].alias("value"))))
+    last = let(sort, lambda a: F.filter(a, lambda e, i: F.coalesce(F.get(a, i + 1)["key"] != e["key"], F.lit(True))))
+    return F.map_from_entries(F.transform(last, lambda e: F.struct(e["key"], e["value"])))
 
 
 def without_figure_bodies(c: Column | str) -> Column:
@@ -193,6 +214,28 @@ def without_figures(c: Column | str) -> Column:
     return substitute(c, (r"\[(FOOTNOTE|FIGURE|TABLE).*?END\1\]", ""))
 
 
+def without_placeholders(c: Column | str) -> Column:
+    """Figures and tables go, from marker to end marker."""
+    return substitute(c, (r"\[(FIGURE|TABLE)[^\]\n]*+\].*?\[END\1\]", ""))
+
+
+def footnotes_in_place(c: Column | str, bodies: Column) -> Column:
+    """Empty footnote markers become their bodies from a map, or nothing."""
+    x = _col(c)
+    names = F.array_distinct(F.regexp_extract_all(x, F.lit(r"\[FOOTNOTE(.*?)\]\[ENDFOOTNOTE\]"), F.lit(1)))
+    put = lambda acc, n: F.replace(acc, F.concat(F.lit("[FOOTNOTE"), n, F.lit("][ENDFOOTNOTE]")), F.coalesce(F.try_element_at(bodies, F.concat(F.lit("FOOTNOTE"), n)), F.lit("")))
+    return F.aggregate(names, x, put)
+
+
+def without_line_breaks(parts: Column | str) -> Column:
+    return F.transform(_col(parts), lambda x: F.replace(x, F.lit("\n"), F.lit(" ")))
+
+
+def reversed_texts(parts: Column | str) -> Column:
+    """The array from back to front, each text too."""
+    return F.reverse(F.transform(_col(parts), F.reverse))
+
+
 # --- generated pages -------------------------------------------------------------------------
 
 
@@ -218,7 +261,7 @@ def heading_rules(c: Column | str) -> Column:
     """Overlong headings become text; headings of numbers alone and a heading that ends the page go."""
     x = strip(substitute(c, (r"(?:\n|^)#+ \d*\W? ?(.{100,})", "\n$1")))
     x = F.replace(x, F.lit("\n* [leftmargin=*]\n"), F.lit("\n"))
-    return drop_trailing_title(substitute(x, (r"(?m)^#+ (?:\.?(?:\d|[ixv])+)*\s*(?:$|\n\s*)", "")))
+    return drop_trailing_title(substitute(x, (r"(?m)^#+ (?:\.?[\dixv])*\s*(?:$|\n\s*)", "")))
 
 
 def reference_rules(c: Column | str) -> Column:
@@ -239,8 +282,8 @@ def joiner(c: Column | str, words: Column | None = None) -> Column:
     """White space with which a page can be joined to the next.  `words`: an array of words; null stands for "unknown", which adds a blank."""
     x = _col(c)
     x = F.when(x.endswith(".") | x.endswith("}"), F.concat(x, F.lit("\n\n"))).otherwise(x)
-    last = F.element_at(F.split(x, "\n"), -1)
-    ends = F.lit(True) if words is None else F.array_contains(words, F.element_at(F.split(x, " "), -1))
+    last = F.substring_index(x, "\n", -1)
+    ends = F.lit(True) if words is None else F.array_contains(words, F.substring_index(x, " ", -1))
     return (
         F.when(x.rlike(r"^[A-Z0-9,;:]\n?\z"), F.concat(x, F.lit(" ")))
         .when(x.startswith("#") | x.startswith("**") | x.startswith("\\begin"), F.concat(F.lit("\n\n"), x))
@@ -253,6 +296,13 @@ def is_garbage_table(line: Column) -> Column:
     return (_count(line, "\\begin{tabular}") > 15) | (_count(line, "\\multicolumn") > 60) | (_count(line, "&") > 400)
 
 
+def disclaimer(repeats: Column, repetition: Column) -> Column:
+    """What a page that was cut says of it, with the cut rest if there is any."""
+    said = F.when(repeats > 0, "WARNING: Truncated because of repetitions").otherwise("ERROR: No output for this page")
+    whole = lambda rest: F.when(repeats.isNull() | (rest == ""), "").otherwise(F.concat(F.lit("\n\n+++ =="), said, F.lit("==\n"), rest, F.lit("\n+++\n\n")))
+    return let(strip(close_environments(repetition)), whole)
+
+
 def table_rules(c: Column | str) -> Column:
     """Line breaks about tables, empty tables, leftovers; lines that can't be tables are emptied."""
     lines = F.transform(F.split(_col(c), "\n", -1), lambda x: F.when(is_garbage_table(x), "").otherwise(x))

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 UNRESOLVED = r"\[(?:\?\?(?:. )?)+\]"
-HEADER_STOP = ["a", "and", "are", "as", "by", "for", "in", "is", "it", "of", "on", "or", "that", "the", "to"]
+HEADER_STOP = sorted(set("to a we of is in for and are fig. the figure this that".split()))  # blanks besides
 
 
 # --- filters and joins ----------------------------------------------------------------------
@@ -114,6 +114,26 @@ def remove_words(first_line: Column, words: list[str]) -> Column:
     return first_line
 
 
+def without_header_words(pages: DataFrame, key: str, lines: str, words: int = 10, share: float = 0.4) -> DataFrame:
+    """pages with the words that many of the key's pages begin with removed from their first lines, those that reach `words` words;
+    the words go wherever they stand and in any case, a hyphen with the page number it encloses."""
+    frequent = header_words(pages.withColumn("_first", F.array_join(lines, " ")), key, "_first", words, share)
+    frequent = frequent.groupBy(key).agg(F.array_sort(F.collect_list("word")).alias("_words"))
+    size = F.transform(lines, lambda x: F.size(F.split(x, " ", -1)))
+    before = F.transform(size, lambda _, i: F.aggregate(F.slice(size, F.lit(1), i), F.lit(0), lambda a, n: a + n))
+
+    def cleaned(line: Column) -> Column:
+        def less(acc, w):
+            acc = F.when(w == "-", F.regexp_replace(acc, r"-\s*\d{1,3}\s*-", "")).otherwise(acc)
+            return F.regexp_replace(acc, F.concat(F.lit(r"(?iu)\Q"), F.replace(w, F.lit(r"\E"), F.lit(r"\E\\E\Q")), F.lit(r"\E")), F.lit(""))
+
+        return F.aggregate(F.col("_words"), line, less)
+
+    out = F.transform(lines, lambda x, i: F.when(F.get(before, i) < words, cleaned(x)).otherwise(x))
+    joined = pages.join(frequent, key, "left")
+    return joined.withColumn(lines, F.when(F.col("_words").isNull(), F.col(lines)).otherwise(out)).drop("_words")
+
+
 def document_lines(docs: DataFrame, key: str, text: str, least: int = 3) -> DataFrame:
     """(key, pos, line) of lines of at least `least` characters; pos counts all lines, from 0."""
     return docs.select(key, F.posexplode(F.split(text, "\n", -1)).alias("pos", "line")).where(F.length("line") >= least)

@@ -1,7 +1,8 @@
-import math
 import os
 
 import duckdb
+import numpy as np
+import pandas as pd
 import pytest
 
 from foliospark import catalog
@@ -9,9 +10,15 @@ from foliospark import catalog
 SF = "/root/testdata/sf0.001"
 
 
+def plain(v):
+    if isinstance(v, (list, tuple, np.ndarray)):
+        return str([plain(x) for x in v])
+    return None if pd.isna(v) else round(float(v), 5) if isinstance(v, float) else v
+
+
 def rows(frame):
     frame = frame[sorted(frame.columns)]
-    return sorted((tuple(round(float(v), 5) if isinstance(v, float) and not math.isnan(v) else None if v is None or v != v else v for v in r) for r in frame.astype(object).itertuples(index=False)), key=str)
+    return sorted((tuple(plain(v) for v in r) for r in frame.astype(object).itertuples(index=False)), key=str)
 
 
 @pytest.fixture(scope="module")
