@@ -212,7 +212,7 @@ def _run_maker(min_words: int, ranges: int):
             for o, v in zip(out, (shared, rest, doc[s], pos[s], reach[s], sides[s])):
                 o.append(v.tobytes())
         for d, p, fd, fp in kept if len(member) else ():
-            rows.append(-1)
+            rows.append(-1 - int(d[0]) % (1 << 30))
             for o, v in zip(out, (b"", fd.tobytes(), d.tobytes(), p.tobytes(), fp.tobytes(), b"")):
                 o.append(v)
         return pa.RecordBatch.from_arrays([pa.array(rows, pa.int32()), *(pa.array(o, pa.binary()) for o in out)], names=["part", "shared", "rest", "doc", "pos", "reach", "sides"])
@@ -236,13 +236,11 @@ def _run_maker(min_words: int, ranges: int):
     return run
 
 
-def _member_reader(batches):
-    """(doc_id, pos, first_doc, first_pos) of the suffixes that runs kept aside."""
-    for b in batches:
-        get = {c: b.column(i) for i, c in enumerate(b.schema.names)}
-        for d, p, fd, fp in zip(*(get[c] for c in ("doc", "pos", "rest", "reach"))):
-            cols = [np.frombuffer(x.as_buffer(), kind).astype(np.int64) for x, kind in ((d, np.int64), (p, np.int32), (fd, np.int64), (fp, np.int32))]
-            yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], names=["doc_id", "pos", "first_doc", "first_pos"])
+def _members(t: pa.Table) -> pa.Table:
+    """Rows like the merger's for the suffixes that runs kept aside: their firsts in the place of sources, and no reach."""
+    cols = [np.concatenate([np.frombuffer(x.as_buffer(), kind) for x in t.column(c)]).astype(np.int64) for c, kind in (("doc", np.int64), ("pos", np.int32), ("rest", np.int64), ("reach", np.int32))]
+    none = np.full(len(cols[0]), -1)
+    return pa.table([pa.array(x) for x in (cols[0], cols[1], none, none, cols[2], cols[3])], names=["doc_id", "pos", "least", "most", "kept_doc_id", "kept_pos"])
 
 
 class LoserTree:
@@ -309,6 +307,8 @@ class LoserTree:
 
 def _merger(min_words: int):
     def run(t: pa.Table) -> pa.Table:
+        if t.column("part")[0].as_py() < 0:
+            return _members(t)
         keys, shared, docs, poss, reaches, sidess = [], [], [], [], [], []
         for s, rest, d, p, reach, sides in zip(*([x.as_buffer() for x in t.column(c)] for c in ("shared", "rest", "doc", "pos", "reach", "sides"))):
             s = np.frombuffer(s, np.uint8)
@@ -424,10 +424,10 @@ def repeated_passages(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
         ids = written(src.select("doc_id").repartitionByRange(parts, "doc_id").sortWithinPartitions("doc_id").withColumn("number", F.monotonically_increasing_id()), "ids")
         src = src.join(ids, "doc_id").select(F.col("number").alias("doc_id"), "text")
     ranges = max(4, 4 * docs.select("doc_id").rdd.getNumPartitions())
-    runs = written(src.mapInArrow(_run_maker(min_words, ranges), "part int, shared binary, rest binary, doc binary, pos binary, reach binary, sides binary"), "runs")
-    sources = runs.where("part >= 0").groupBy("part").applyInArrow(_merger(min_words), "doc_id bigint, pos bigint, least bigint, most bigint, kept_doc_id bigint, kept_pos bigint")
-    sources = written(sources, "sources")
-    members = runs.where("part < 0").mapInArrow(_member_reader, "doc_id bigint, pos bigint, first_doc bigint, first_pos bigint")
+    runs = src.mapInArrow(_run_maker(min_words, ranges), "part int, shared binary, rest binary, doc binary, pos binary, reach binary, sides binary")
+    sources = written(runs.groupBy("part").applyInArrow(_merger(min_words), "doc_id bigint, pos bigint, least bigint, most bigint, kept_doc_id bigint, kept_pos bigint"), "sources")
+    members = sources.where("least < 0").select("doc_id", "pos", F.col("kept_doc_id").alias("first_doc"), F.col("kept_pos").alias("first_pos"))
+    sources = sources.where("least >= 0")
     of_members = members.join(sources.withColumnsRenamed({"doc_id": "first_doc", "pos": "first_pos"}), ["first_doc", "first_pos"]).select(sources.columns)
     every = sources.where("doc_id <> kept_doc_id or pos <> kept_pos").unionByName(of_members)
     repeats = every.select("doc_id", (F.col("pos") - F.col("most")).alias("a"), (F.col("pos") - F.col("least") + min_words).alias("b"), "kept_doc_id", (F.col("kept_pos") - F.col("most")).alias("kept_a"))
