@@ -229,11 +229,6 @@ def page_cache(spark, sf_dir):
     return pages.fill_from_cache(c.select("conv_id", "turn"), c.where("turn % 2 = 0").distinct(), ["conv_id", "turn"])
 
 
-@query("SELECT lang, string_agg(text, chr(10) || chr(10) || '------------------' || chr(10) || chr(10) ORDER BY doc_id) AS dump FROM documents WHERE length(text) > 0 GROUP BY lang")
-def modality_dump(spark, sf_dir):
-    return files.modality_dump(table(spark, sf_dir, "documents"), "doc_id", "text", "lang")
-
-
 @query()
 def modality_metrics(spark, sf_dir):
     return metrics.summarise(metrics.page_metrics(metrics.by_modality(_pairs(spark, sf_dir)), bleu=True), "modality")

@@ -66,6 +66,48 @@ def figures_by_page(figures: DataFrame, key: str = "paper_id") -> DataFrame:
     return ok.groupBy(key, "page").agg(F.array_sort(F.collect_list(item)).alias("figures"))
 
 
+def index_pages(pages: DataFrame, images: DataFrame, figures: DataFrame, papers: DataFrame, ocr: DataFrame | None = None) -> DataFrame:
+    """The page index: pages (paper_id, page_no, text) that have an image and lie within num_pages of papers (paper_id, num_pages), with
+    the path of their OCR text or null, and meta, the page's figures (pos, page, caption, text, fig_type) in order, none being an empty array."""
+    keys = ["paper_id", "page_no"]
+    out = pages.join(images.select(*keys, "image"), keys).join(papers.select("paper_id", "num_pages"), "paper_id").where("page_no <= num_pages")
+    out = out.join(ocr.select(*keys, "ocr"), keys, "left") if ocr is not None else out.withColumn("ocr", F.lit(None).cast("string"))
+    found = figures_by_page(figures.join(papers.select("paper_id", "num_pages"), "paper_id")).withColumn("page_no", F.col("page") + 1).drop("page")
+    out = out.join(found, keys, "left")
+    return out.select(*keys, "image", F.trim("text").alias("markdown"), "ocr", F.coalesce("figures", F.slice("figures", 1, 0), F.array().cast(found.schema["figures"].dataType)).alias("meta"))
+
+
+def split_record(rows: DataFrame, *popped: str, rest: str = "meta") -> DataFrame:
+    """Some columns by themselves and all others as one struct."""
+    return rows.select(*popped, F.struct(*(c for c in rows.columns if c not in popped)).alias(rest))
+
+
+def complete(rows: DataFrame) -> DataFrame:
+    """Rows without any null, as batches are made of."""
+    return rows.dropna()
+
+
+def shuffled(rows: DataFrame, key: str, seed: int) -> DataFrame:
+    """Rows in an order that the seed and the key alone decide; shuffle_key says it."""
+    return rows.withColumn("shuffle_key", F.md5(F.concat(F.lit(f"{seed}:"), F.col(key).cast("string")))).orderBy("shuffle_key")
+
+
+def without_figure_spots(figures: DataFrame, key: str, least: float = 0.8) -> DataFrame:
+    """Places of figures in page texts that are sure enough, from the last to the first of each key, numbered in this order."""
+    w = Window.partitionBy(key).orderBy(F.desc("start"), "pos")
+    return figures.where((F.col("score") > least) & (F.col("length") > 0)).withColumn("turn", F.row_number().over(w))
+
+
+def with_callable(rows: DataFrame, column: str, f, out: str | None = None) -> DataFrame:
+    """rows with a text column passed through a function of one text, in batches; nulls stay."""
+
+    @F.pandas_udf("string")
+    def run(x):
+        return x.map(lambda v: None if v is None else f(v))
+
+    return rows.withColumn(out or column, run(column))
+
+
 def to_pixels(points: Column, dpi: int = 96) -> Column:
     """Typographic points to pixels, halves to even."""
     return F.bround(points * (dpi / 72)).cast("bigint")
@@ -81,12 +123,14 @@ def assemble(pages: DataFrame, key: str, order: str, text: str, separator: str =
     return doc.withColumn("document", F.regexp_replace(F.regexp_replace("document", r"^\s+|\s+\z", ""), r"\n{3,}", "\n\n"))
 
 
-def page_marker(text: Column, page: Column, repeats: Column, skipping: bool = True) -> Column:
-    """Text of a page, or a marker of why there is none."""
+def page_marker(text: Column, page: Column, repeats: Column, skipping: bool = True, markdown: bool = False) -> Column:
+    """Text of a page, made compatible with Markdown if wanted, or a marker of why there is none."""
+    from foliospark.functions.text import markdown_compatible
+
     out = F.when(text == "[MISSING_PAGE_POST]", F.format_string("\n\n[MISSING_PAGE_EMPTY:%d]\n\n", page))
     if skipping:
         out = out.when(repeats > 0, F.format_string("\n\n[MISSING_PAGE_FAIL:%d]\n\n", page)).when(repeats == 0, F.format_string("\n\n[MISSING_PAGE_EMPTY:%d]\n\n", page))
-    return out.otherwise(text)
+    return out.otherwise(markdown_compatible(text) if markdown else text)
 
 
 def last_of_document(pages: DataFrame, key: str, page: str) -> DataFrame:
