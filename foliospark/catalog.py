@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from foliospark.functions import html, repetition, similarity, text
-from foliospark.operators import metrics, pages, windows
+from foliospark.operators import metrics, pages, splitting, windows
 from foliospark.plans import page_sets, series, text_rules  # noqa: F401  they register their queries
 from foliospark.plans.registry import ORACLE_SQL, QUERIES, literal, query, replaced, table  # noqa: F401
 from foliospark.sources import files
@@ -265,3 +265,15 @@ def fuzzy_position(spark, sf_dir):
     p = _pairs(spark, sf_dir).repartition(4 * spark.sparkContext.defaultParallelism)  # small files, much work a row
     first = F.array_join(pages.first_words(F.col("truth"), 3), " ")
     return p.select("doc_id", "item_id", similarity.fuzzy_position(first, F.col("pred")).alias("x")).select("doc_id", "item_id", "x.*")
+
+
+@query()
+def split_documents(spark, sf_dir):
+    """Conversations as papers whose turns are pages: each is to come out again as it went in."""
+    c = table(spark, sf_dir, "conversations").where("length(text) > 0")
+    turns = F.transform(F.array_sort(F.collect_list(F.struct("turn", "text"))), lambda t: t["text"])
+    papers = c.groupBy("conv_id").agg(turns.alias("texts")).select(
+        F.col("conv_id").cast("string").alias("paper_id"), F.array_join("texts", "\n\n").alias("markdown"), F.transform("texts", lambda t: F.split(t, r"(?<=[.?!,]) ")).alias("pages"),
+        F.lit(None).cast("array<struct<page:int,caption:string,text:string,figType:string>>").alias("figures"), F.lit(None).cast("map<string,string>").alias("bodies"),
+    )
+    return splitting.split_documents(papers)

@@ -3,12 +3,13 @@
 from __future__ import annotations
 
 import re
+import sys
 from html.parser import HTMLParser
 
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .text import ESCAPES
+from .text import ESCAPES, STYLES, SYNONYMS
 
 _VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
 _INLINE_TEX = re.compile(r"^(?:\\\(|\\\[|\$\$?)|(?:\\\)|\\\]|\$\$?)$")
@@ -86,6 +87,8 @@ def _hoist(mark: str, s: str) -> str:
 def _tex(s: str, inline: bool) -> str:
     s = _INLINE_TEX.sub("", s.strip()).strip()
     s = re.sub(r"(?<!\\)%.*\n", "\n", s).replace("\n", " ")
+    for a, b in (*SYNONYMS, *STYLES):
+        s = s.replace(a, b)
     return "" if not s else f"\\({s}\\)" if inline else f"\\[{s}\\]"
 
 
@@ -100,6 +103,7 @@ class Writer:
         self.level = 0
         self.in_table = 0
         self.in_code = 0
+        self.titled = False
 
     def all(self, n: Node) -> str:
         return "".join(self.one(c) for c in n.children)
@@ -146,7 +150,8 @@ class Writer:
         if has("authors", "personname", "dates", "role_thanks"):
             return self.all(n).strip() + "\n\n"
         if t == "h1" and has("title_document"):
-            return f"# {self.all(n).strip()}\n\n"
+            first, self.titled = not self.titled, True
+            return f"# {self.all(n).strip()}\n\n" if first else ""
         if t == "section" or has("abstract", "acknowledgements"):
             body = self.all(n)
             return body if body.strip() else ""
@@ -183,7 +188,8 @@ class Writer:
         if has("equationgroup", "eqn_table"):
             return f"\n{re.sub(r'\\\] *\\\[', ' ', self.all(n)).strip()}\n\n"
         if has("eqn_row", "eqn_cell"):
-            return self.all(n).strip() + (" " if self.all(n).strip() else "")
+            s = self.all(n).strip()
+            return s + " " if s else ""
         if t == "table" or has("tabular"):
             return self.table(n)
         if has("text", "emph") or t in ("em", "i", "b", "strong"):
@@ -261,13 +267,17 @@ def markdown(page: str | None) -> tuple[bool, str | None, str | None, dict[str,
     """(ok, error, Markdown, bodies of figures, tables and footnotes by marker)."""
     if page is None:
         return False, "no page", None, {}
-    article = next(parse(page.replace("\xa0", " ")).find(lambda x: x.name == "article"), None)
-    if article is None:
-        return False, "no article", None, {}
+    if sys.getrecursionlimit() < 6000:  # elements nest as deep as pages have them
+        sys.setrecursionlimit(6000)
     try:
+        article = next(parse(page.replace("\xa0", " ")).find(lambda x: x.name == "article"), None)
+        if article is None:
+            return False, "no article", None, {}
         s = Writer().all(article)
     except Unresolved as e:
         return False, f"unresolved reference: {e}", None, {}
+    except RecursionError:
+        return False, "nested too deeply", None, {}
     s = re.sub(r"(?m) $", "", s)
     s = re.sub(r"(?m)\n[\t ]*$", "\n", s)
     s = re.sub(r"\n{3,}", "\n\n", re.sub(r"(?<!\n) {2,}", " ", s)).lstrip()
@@ -289,3 +299,10 @@ def to_markdown(column):
     import pandas as pd
 
     return pd.DataFrame([markdown(x) for x in column], columns=["ok", "error", "markdown", "figures"])
+
+
+def converted(pages, html: str = "html"):
+    """(documents, faulty): pages with markdown and figures, and those without, with the error that says why."""
+    out = pages.withColumn("_x", to_markdown(html))
+    others = [c for c in pages.columns if c != html]
+    return out.where("_x.ok").select(*others, "_x.markdown", "_x.figures"), out.where("not _x.ok").select(*others, "_x.error")

@@ -5,6 +5,7 @@ from __future__ import annotations
 import math
 from collections import Counter
 
+import numpy as np
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -122,14 +123,33 @@ def near_matches(needle: str, hay: str, most: int) -> list[tuple[int, int, int]]
     return out
 
 
+def _last_row(needle: np.ndarray, hay: np.ndarray, free: bool) -> np.ndarray:
+    """Edit distances of the needle to hay[:j] for all j, or to the best of hay[i:j] if its begin is free; each row of the
+    table is a few array operations."""
+    ramp = np.arange(len(hay) + 1, dtype=np.int32)
+    row = np.zeros_like(ramp) if free else ramp.copy()
+    for i, c in enumerate(needle, 1):
+        new = np.empty_like(row)
+        new[0] = i
+        np.minimum(row[:-1] + (hay != c), row[1:] + 1, out=new[1:])
+        row = np.minimum.accumulate(new - ramp) + ramp
+    return row
+
+
 def locate(needle: str, hay: str, rate: float = 0.5) -> tuple[int, float]:
-    """(start, score) of the closest near match, or (-1, 0)."""
+    """(start, score) of the closest near match, the first of equally close ones, or (-1, 0)."""
     most = min(len(needle) - 1, int(len(needle) * min(0.9, rate)) + 5)
-    found = near_matches(needle, hay, most)
-    if not found:
+    if not needle or most < 0:
+        return -1, 0.0
+    x, y = (np.frombuffer(s.encode("utf-32-le", "surrogatepass"), np.uint32) for s in (needle, hay))
+    ends = _last_row(x, y, True)
+    end = int(ends.argmin())
+    least = int(ends[end])
+    if least > most:
         return -1, 0.0
-    s, _, d = min(found, key=lambda m: m[2])
-    return s, 1 - d / max(1, most)
+    back = y[max(0, end - len(x) - least) : end][::-1]
+    size = int(np.flatnonzero(_last_row(x[::-1], back, False) == least)[-1])  # the longest of equally close ones
+    return end - size, 1 - least / max(1, most)
 
 
 @F.pandas_udf(T.StructType([T.StructField("start", T.LongType()), T.StructField("score", T.DoubleType())]))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from functools import reduce
 
 from pyspark.sql import Column
@@ -171,6 +172,25 @@ SYNONYMS += [("\\" + a, b) for a, b in (w.split("=", 1) for w in _OTHERS.split()
 STYLES = [("\\" + s + "style", "") for s in ("display", "script", "scriptscript", "text")]
 
 
+_GREEK = "alpha beta gamma delta epsilon zeta eta theta iota kappa lambda mu nu xi o pi rho varsigma sigma tau upsilon varphi chi psi omega".split()
+_SIGNS = """× times÷ div± pm∓ mp· cdot∘ circ∙ cdot≤ leq≥ geq≠ neq≈ approx≡ equiv∼ sim≃ simeq≅ cong∝ propto∞ infty∂ partial∇ nabla∫ int∑ sum∏ prod√ surd∈ in∉ notin∋ ni⊂ subset⊆ subseteq⊃ supset⊇ supseteq
+∪ cup∩ cap∅ emptyset∀ forall∃ exists¬ neg∧ wedge∨ lor⊕ oplus⊗ otimes⊥ perp∥ parallel∠ angle→ to← gets↔ leftrightarrow⇒ Rightarrow⇐ Leftarrow⇔ Leftrightarrow↦ mapsto↑ uparrow↓ downarrow⟨ langle⟩ rangle
+⌊ lfloor⌋ rfloor⌈ lceil⌉ rceil… ldots⋯ cdots⋮ vdots⋱ ddots† dagger‡ ddagger• bullet★ star⋆ star° degreeℏ hbarℓ ellℜ Reℑ Imℵ aleph′ prime″ prime≪ ll≫ gg⊢ vdash⊨ models⊤ top≜ triangleq□ square◇ diamond△ triangle"""
+UNICODE_TEX = [(chr(0x3B1 + i), f"\\{n} " if len(n) > 1 else n) for i, n in enumerate(_GREEK)]
+UNICODE_TEX += [(chr(0x391 + i), f"\\{n.capitalize()} ") for i, n in enumerate(_GREEK) if n in ("gamma", "delta", "theta", "lambda", "xi", "pi", "sigma", "upsilon", "psi", "omega")]
+UNICODE_TEX += [("ϵ", "\\epsilon "), ("ϕ", "\\phi "), ("ϑ", "\\vartheta "), ("Φ", "\\Phi "), ("µ", "\\mu ")]
+UNICODE_TEX += [(m[0], f"\\{m[1]} ") for m in re.findall(r"([^\sa-zA-Z]) ?([a-zA-Z]+)", _SIGNS)]
+UNICODE_TEX += list(zip("’‘“”–—−\u00a0\u2009\u202f", ["'", "'", '"', '"', "-", "-", "-", " ", " ", " "]))
+
+
+def unicode_to_latex(c: Column | str) -> Column:
+    """Characters beyond ASCII as LaTeX commands; braces become blanks, blanks in a row one; letters lose their marks and
+    what has no command goes."""
+    x = replace_all(strip(c), UNICODE_TEX)
+    x = strip(substitute(F.translate(x, "{}", "  "), (r"\s{2,}", " ")))
+    return to_ascii(latex_synonyms(x))
+
+
 def latex_synonyms(c: Column | str) -> Column:
     return replace_all(c, SYNONYMS)
 

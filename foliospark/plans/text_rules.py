@@ -223,3 +223,13 @@ _MARKS, _PLAIN = "àáâãäåçèéêëìíîïñòóôõöøùúûüýÿÀÁÂ
 @query(f"SELECT doc_id, {regexes(replaced(f'translate(text, {literal(_MARKS)}, {literal(_PLAIN)})', [('ß', 'ss'), ('æ', 'ae'), ('œ', 'oe'), ('…', '...')]), (r'[^\x00-\x7F]', ''))} AS plain FROM documents")
 def ascii_text(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", text.to_ascii("text").alias("plain"))
+
+
+_GREEKED = "translate(replace(replace(replace(text, ' the ', '≤'), ', ', ' {∞}'), '. ', ' \\ne '), 'aeo', 'αεω')"
+_TEXED = stripped(regexes(f"translate({replaced(stripped(_GREEKED), text.UNICODE_TEX)}, '{{}}', '  ')", (r"\s{2,}", " ")))
+
+
+@query(f"SELECT doc_id, {regexes(replaced(f'translate({replaced(_TEXED, text.SYNONYMS)}, {literal(_MARKS)}, {literal(_PLAIN)})', [('ß', 'ss'), ('æ', 'ae'), ('œ', 'oe'), ('…', '...')]), (r'[^\x00-\x7F]', ''))} AS tex FROM documents")
+def unicode_as_latex(spark, sf_dir):
+    t = F.translate(text.replace_all("text", [(" the ", "≤"), (", ", " {∞}"), (". ", " \\ne ")]), "aeo", "αεω")
+    return table(spark, sf_dir, "documents").select("doc_id", text.unicode_to_latex(t).alias("tex"))

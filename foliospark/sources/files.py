@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 INDEX = "image string, markdown string, ocr string, meta array<struct<page:int,caption:string,text:string,figType:string>>, _corrupt_record string"
 
@@ -79,7 +80,7 @@ def split_index(spark: SparkSession, path: str, split: str) -> DataFrame:
     return read_index(spark, at)
 
 
-@F.pandas_udf("int")
+@F.pandas_udf(T.IntegerType())
 def pdf_pages(content):
     """Pages of a PDF: its page objects, also those in compressed object streams; null for what isn't a PDF."""
     import re
