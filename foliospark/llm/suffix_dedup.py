@@ -35,13 +35,13 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .arrowtext import U64, gram_hashes, hashed_words, mix, powers, slices, span_hashes
+from .arrowtext import _R, U64, gram_hashes, hashed_words, mix, powers, slices, span_hashes
 from .shared import one_text_per_id, written
 
 MIN_WORDS = 50
 PREFIX = 30
 GRAM = 4
-RUN = 400_000
+RUN = 200_000
 _LEAD = 4
 _KEY = _LEAD + PREFIX + 8
 
@@ -178,9 +178,10 @@ def _alike(keys: np.ndarray, reach: np.ndarray, sides: np.ndarray) -> np.ndarray
     both = tie.copy()
     both[:-1] |= tie[1:]
     at = np.flatnonzero(both)
-    p, _ = powers(sides.shape[1] + 2)
-    values = np.concatenate([sides[at], reach[at].astype(np.uint32)], axis=1).astype(U64) + U64(1)
-    h = mix((values * p[: values.shape[1]]).sum(1, dtype=U64))
+    h = reach[at, 0].astype(U64) << U64(32) | reach[at, 1].astype(U64)
+    for k in range(sides.shape[1]):  # column by column: a table of 64-bit numbers would take much memory
+        h = h * U64(_R) + sides[at, k]
+    h = mix(h)
     order = np.lexsort((h, group[at]))  # stable: equal ones stay in the order of their places
     g, x = group[at][order], h[order]
     new = np.ones(len(order), bool)
@@ -192,6 +193,7 @@ def _alike(keys: np.ndarray, reach: np.ndarray, sides: np.ndarray) -> np.ndarray
 def _run_maker(min_words: int, ranges: int):
     def cut(parts):
         keys, doc, pos, reach, sides = (np.concatenate([p[k] for p in parts]) for k in range(5))
+        parts.clear()
         order = _sorted_rows(keys, doc, pos)
         keys, doc, pos, reach, sides = keys[order], doc[order].astype(np.int64), pos[order].astype(np.int32), reach[order], sides[order]
         first = _alike(keys, reach, sides)
