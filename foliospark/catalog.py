@@ -251,7 +251,9 @@ def postprocess_pages(spark, sf_dir):
 
 @query()
 def html_markdown(spark, sf_dir):
-    return table(spark, sf_dir, "pages").select("page_id", html.to_markdown("html").alias("x")).select("page_id", "x.*")
+    # the pages aren't papers, so each is taken as the article of one
+    page = F.concat(F.lit("<article>"), "html", F.lit("</article>"))
+    return table(spark, sf_dir, "pages").select("page_id", html.to_markdown(page).alias("x")).select("page_id", "x.*")
 
 
 @query()

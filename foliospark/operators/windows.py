@@ -78,10 +78,27 @@ def gini(rows: DataFrame, key: str, label: str) -> DataFrame:
     return c.groupBy(key).agg((F.sum("n") - F.sum(F.col("n") * F.col("n")) / F.sum("n")).alias("gini"))
 
 
+def class_median(rows: DataFrame, label: str, value: str, buckets: int = 1024) -> DataFrame:
+    """(label, median) of each class, exact.  Values are counted in `buckets` stretches between the least and the greatest of their
+    class; only the one or two stretches that hold the middle are sorted, so no task sees all values of a class."""
+    x = rows.where(F.col(value).isNotNull()).select(label, F.col(value).cast("double").alias("_v"))
+    ends = x.groupBy(label).agg(F.min("_v").alias("_lo"), F.max("_v").alias("_hi"), F.count("*").alias("_n"))
+    at = F.when(F.col("_hi") > F.col("_lo"), F.least(F.floor((F.col("_v") - F.col("_lo")) / (F.col("_hi") - F.col("_lo")) * buckets), F.lit(buckets - 1))).otherwise(F.lit(0)).cast("int")
+    x = x.join(ends, label).withColumn("_b", at)
+    up_to = Window.partitionBy(label).orderBy("_b")
+    sizes = x.groupBy(label, "_b").agg(F.count("*").alias("_k"), F.first("_n").alias("_n")).withColumn("_before", F.sum("_k").over(up_to) - F.col("_k"))
+    low, high = F.floor((F.col("_n") - 1) / 2), F.floor(F.col("_n") / 2)
+    middle = sizes.where((F.col("_before") <= high) & (F.col("_before") + F.col("_k") > low)).select(label, "_b", "_before")
+    rank = F.row_number().over(Window.partitionBy(label, "_b").orderBy("_v")) - 1 + F.col("_before")
+    ranked = x.join(middle, [label, "_b"]).withColumn("_r", rank)
+    return ranked.where((F.col("_r") == low) | (F.col("_r") == high)).groupBy(label).agg(F.avg("_v").alias("median"))
+
+
 def class_spread(rows: DataFrame, label: str, value: str) -> DataFrame:
     """(label, median, mad): median and median absolute deviation of each class."""
-    med = rows.groupBy(label).agg(F.median(value).alias("median"))
-    return rows.join(med, label).groupBy(label, "median").agg(F.median(F.abs(F.col(value) - F.col("median"))).alias("mad"))
+    med = class_median(rows, label, value)
+    away = rows.join(med, label).select(label, F.abs(F.col(value) - F.col("median")).alias("_away"))
+    return med.join(class_median(away, label, "_away").withColumnRenamed("median", "mad"), label)
 
 
 def staircase(x: Column, thresholds: Column) -> Column:
