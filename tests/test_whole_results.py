@@ -133,12 +133,12 @@ def test_missing_page_post(spark, tmp_path):
 
 
 def test_postprocessed_pages(spark, tmp_path):
-    pages = ["# 1.2\n\nBody of the page. " + "it goes round and round in circles. " * 5 + "\n## Last", "\\begin{table} \\begin{tabular}{c}a\\end{tabular} \\end{table} Table", "* one * two", None]
+    pages = ["# 1.2\n\nBody of the page. " + "it goes round and round in circles. " * 5 + "\n## Last", "\\begin{table} \\begin{tabular}{c}a\\end{tabular} \\end{table} Table", "* one item * two items", None]
     spark.createDataFrame([(0, i, t) for i, t in enumerate(pages)], "conv_id long, turn long, text string").write.parquet(f"{tmp_path}/conversations.parquet")
     got = {r.turn: r.text for r in catalog.QUERIES["postprocess_pages"](spark, str(tmp_path)).collect()}
     assert "1.2" not in got[0] and "## Last" not in got[0] and got[0].count("round and round") < 5
     assert "\\begin{table}\n\\begin{tabular}" in got[1] and "\\end{tabular}\n\\end{table}" in got[1]
-    assert got[2].strip() == "* one\n* two" and got[3] is None
+    assert got[2].strip() == "* one item\n* two items" and got[3] is None
 
 
 def test_html_of_papers(spark, tmp_path):
