@@ -55,7 +55,8 @@ def stopping_step(rows: DataFrame, key: str, order: str, value: str, limit: floa
     r = r.withColumn("_low", (F.row_number().over(w) >= long) & (F.var_samp("running_variance").over(far) / F.count("*").over(far) < limit))
     r = r.withColumn("_stop", F.col("_low") & F.lag("_low").over(w))
     found = r.groupBy(key).agg(F.min(F.when(F.col("_stop"), F.col(order))).alias("stop_step"))
-    return found.withColumn("stop_index", F.least(F.greatest(F.col("stop_step") - 1, F.lit(1)) * 1.15 + 150 + long, F.lit(4095)).cast("int"))
+    at = F.least(F.greatest(F.col("stop_step") - 1, F.lit(1)) * 1.15 + 150 + long, F.lit(4095)).cast("int")
+    return found.withColumn("stop_index", F.when(F.col("stop_step").isNotNull(), at))
 
 
 def line_islands(lines: DataFrame, key: str, pos: str, line: str, gap: int = 3, least: int = 15) -> DataFrame:

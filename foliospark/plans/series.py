@@ -44,7 +44,7 @@ r AS (SELECT page, step, CASE WHEN n > 1 THEN (n * q - s * s)::DOUBLE / (n * (n
 l AS (SELECT page, step, step >= 20 AND var_samp(r) OVER y / count(*) OVER y < 0.0012 AS low FROM r WINDOW y AS (PARTITION BY page ORDER BY step ROWS 19 PRECEDING)),
 t AS (SELECT page, step, low, low AND lag(low) OVER (PARTITION BY page ORDER BY step) AS stop FROM l),
 f AS (SELECT page, min(step) FILTER (stop) AS stop_step FROM t GROUP BY page)
-SELECT page, stop_step, CAST(trunc(least((stop_step - 1) * 1.15 + 150 + 20, 4095)) AS INT) AS stop_index FROM f""")
+SELECT page, stop_step, CASE WHEN stop_step IS NOT NULL THEN CAST(trunc(least((stop_step - 1) * 1.15 + 150 + 20, 4095)) AS INT) END AS stop_index FROM f""")
 def stopping_steps(spark, sf_dir):
     from pyspark.sql import Window
 
