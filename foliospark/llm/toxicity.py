@@ -8,7 +8,8 @@
    it is.  A token without any of these has one reading, itself, so it needs no decoding.
 3. From labelled documents (at most `max_labelled`, taken by hash of doc_id) features of words
    get weights: whole words, prefixes, 5-grams with word boundaries.  A weight is the change
-   of the log-odds that a document is toxic.
+   of the log-odds that a document is toxic.  Of toxic documents that are copies of each other, or nearly so, one
+   counts: else all words of a document that is copied often would seem to make documents toxic.
 4. A document's score starts at the prior log-odds and adds a weight for each distinct word, as written and
    as restored, that has a feature a likelihood-ratio test found significant; the most
    specific known feature of the word decides.  The document is toxic from `threshold` on.
@@ -28,6 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .arrowtext import column_bytes, fold_case, mix, slices, span_hashes, word_spans
+from .minhash_dedup import sketches
 from .shared import output_schema, written
 
 MAX_LABELLED = 20_000
@@ -147,7 +149,7 @@ def _all(raw: np.ndarray, what: bytes) -> np.ndarray:
 class Restorer:
     """Finds the tokens of a text slice that may hide words and decodes each distinct one once."""
 
-    def __init__(self, model: np.ndarray, limit: int = 200_000):
+    def __init__(self, model: np.ndarray, limit: int = 50_000):
         self.model, self.limit, self.known = model, limit, {}
 
     def read(self, token: str) -> str:
@@ -292,7 +294,7 @@ def _gram_counter(model: np.ndarray):
     def run(batches):
         restorer = Restorer(model)
         for batch in batches:
-            for part in slices(batch, "text"):
+            for part in slices(batch, "text", 1 << 20):
                 toxic = np.asarray(part.column(1)).astype(bool)
                 keys = [x << np.uint64(16) | d.astype(np.uint64) for f, doc in _both(part.column(0), restorer) for x, d in [*((h, doc) for h in f.levels), (f.gram, doc[f.gram_word])]]
                 keys = np.unique(np.concatenate(keys))
@@ -320,12 +322,28 @@ class Weights:
         return self.keys[at] == h, at
 
 
+def _copies(sketched: pa.Table, share: float = 0.5) -> np.ndarray:
+    """Rows whose sketch shares that part of its values with the sketch of one row before it."""
+    sketch = sketched.column("sketch").combine_chunks()
+    size = np.asarray(sketch.value_lengths()).astype(np.int64)
+    row, value = np.repeat(np.arange(len(size)), size), np.asarray(sketch.flatten())
+    order = np.lexsort((row, value))
+    row, value = row[order], value[order]
+    first = np.maximum.accumulate(np.where(np.diff(value, prepend=value[:1] - 1) != 0, np.arange(len(value)), 0))
+    pair, n = np.unique(row[first] * len(size) + row, return_counts=True)
+    a, b = pair // max(1, len(size)), pair % max(1, len(size))
+    return np.unique(b[(a != b) & (n >= share * size[b])])
+
+
 def fit(docs: DataFrame, labels: DataFrame, model: np.ndarray, max_labelled: int = MAX_LABELLED, support: int = 8, margin: float = 5.0) -> Weights:
     """The weights; significant is a likelihood ratio beyond log(number of features) + margin."""
     known = labels.where("doc_id is not null and toxic in (0, 1)").groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
     sample = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_labelled)
     # the sample has at most max_labelled rows of two numbers
-    own = docs.where("doc_id is not null").select("doc_id", F.col("text").cast("string").alias("text")).join(F.broadcast(sample), "doc_id").select("text", "toxic")
+    own = docs.where("doc_id is not null").select("doc_id", F.col("text").cast("string").alias("text")).join(F.broadcast(sample), "doc_id")
+    bad = sketches(own.where("toxic = 1")).select("doc_id", "version", "sketch").dropDuplicates(["doc_id", "version"]).orderBy("doc_id", "version").toArrow()
+    copies = docs.sparkSession.createDataFrame(bad.select(["doc_id", "version"]).take(pa.array(_copies(bad))), output_schema(own, ["doc_id"], "version bigint"))
+    own = own.withColumn("version", F.xxhash64("text")).join(F.broadcast(copies), ["doc_id", "version"], "left_anti").dropDuplicates(["doc_id", "version"]).select("text", "toxic")
     counted = own.mapInArrow(_gram_counter(model), "gram bigint, bad bigint, good bigint").groupBy("gram").agg(F.sum("bad").alias("bad"), F.sum("good").alias("good"))
     counted = written(counted, "features")
     total = counted.where("gram = -1").first()

@@ -311,6 +311,22 @@ def test_toxicity_on_labels_held_out(spark):
     assert n.get((0, True), 0) <= 0.01 * (n.get((0, True), 0) + n.get((0, False), 0))
 
 
+def test_a_toxic_document_copied_often_makes_no_clean_one_toxic(spark):
+    rng = random.Random(9)
+    common = words(rng, 300)
+    text_of = lambda: " ".join(rng.choices(common, k=80))
+    clean, bad = [text_of() for _ in range(400)], [text_of() + f" horrible{i % 3} swine" for i in range(60)]
+    rare = words(rng, 60)
+    copied = " ".join(rare) + " swine"
+    near = [" ".join(w if rng.random() > 0.02 else "edit" for w in copied.split()) for _ in range(40)]
+    innocent = [text_of() + " " + " ".join(rng.sample(rare, 12)) for _ in range(30)]
+    rows = [*((t, 0) for t in clean), *((t, 1) for t in bad), *((t, 1) for t in [copied] * 40 + near)]
+    docs = table(spark, [*((i, t) for i, (t, _) in enumerate(rows)), *((1000 + i, t) for i, t in enumerate(innocent)), (2000, text_of() + " sw1ne")])
+    labels = spark.createDataFrame([(i, y) for i, (_, y) in enumerate(rows)], "doc_id bigint, toxic int")
+    got = {r.doc_id: r.toxic for r in toxicity.toxic_documents(docs, labels).collect()}
+    assert not any(got[1000 + i] for i in range(30)) and got[2000] and not any(got[i] for i, (_, y) in enumerate(rows) if not y)
+
+
 def test_toxicity_cases(spark):
     docs = table(spark, [*((i, "plain text of no harm") for i in range(5)), *EMPTY_ROWS, (1, "plain text of no harm")])
     labels = spark.createDataFrame([(0, 0), (None, 1), (1, None)], "doc_id bigint, toxic int")
@@ -348,3 +364,20 @@ def test_pipeline_against_its_parts(spark, tmp_path):
     for r in got.collect():
         have[r.doc_id] = have.get(r.doc_id, 0) + r.n_tokens
     assert have == want
+
+
+def test_pipeline_with_empty_tables_and_clashing_columns(spark, tmp_path):
+    x = "one line of text that nobody repeats anywhere"
+    rows = [(1, x), (None, x), (2, None), (3, ""), (4, "another text that is its own and long enough"), (4, "a second text of that document, not like it")]
+    docs, labels, bench = table(spark, rows), spark.createDataFrame([], "doc_id bigint, quality int, toxic int"), spark.createDataFrame([], "item_id bigint, text string")
+    for name, empty in (("none", True), ("some", False)):
+        sf = str(tmp_path / name)
+        (docs.limit(0) if empty else docs).write.parquet(f"{sf}/documents.parquet")
+        labels.write.parquet(f"{sf}/labels.parquet")
+        bench.write.parquet(f"{sf}/benchmark.parquet")
+        made = spark.read.parquet(f"{sf}/documents.parquet")
+        for stage, f in corpus_pipeline.STAGES[:4]:
+            made = f(spark, made, sf)
+            assert made.columns == docs.columns and made.count() == (0 if empty else len(rows)), stage
+        got = sorted((r.doc_id, r.start_token) for r in corpus_pipeline.run(spark, sf).collect())
+        assert got == ([] if empty else [(1, 0), (4, 0), (4, 0)])
