@@ -278,4 +278,4 @@ def split_documents(spark, sf_dir):
         F.col("conv_id").cast("string").alias("paper_id"), F.array_join("texts", "\n\n").alias("markdown"), F.transform("texts", lambda t: F.split(t, r"(?<=[.?!,]) ")).alias("pages"),
         F.lit(None).cast("array<struct<page:int,caption:string,text:string,figType:string>>").alias("figures"), F.lit(None).cast("map<string,string>").alias("bodies"),
     )
-    return splitting.split_documents(papers)
+    return splitting.split_documents(papers.repartition(4 * spark.sparkContext.defaultParallelism))  # few bytes, much work a row
