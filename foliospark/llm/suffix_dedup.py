@@ -35,13 +35,13 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .arrowtext import _R, U64, gram_hashes, hashed_words, mix, powers, slices, span_hashes
+from .arrowtext import _R, U64, gram_hashes, hashed_words, mix, powers, slices, span_hashes, trim
 from .shared import one_text_per_id, written
 
 MIN_WORDS = 50
 PREFIX = 30
 GRAM = 4
-RUN = 200_000
+RUN = 100_000
 _LEAD = 4
 _KEY = _LEAD + PREFIX + 8
 
@@ -194,6 +194,7 @@ def _run_maker(min_words: int, ranges: int):
     def cut(parts):
         keys, doc, pos, reach, sides = (np.concatenate([p[k] for p in parts]) for k in range(5))
         parts.clear()
+        trim()
         order = _sorted_rows(keys, doc, pos)
         keys, doc, pos, reach, sides = keys[order], doc[order].astype(np.int64), pos[order].astype(np.int32), reach[order], sides[order]
         first = _alike(keys, reach, sides)
