@@ -1,4 +1,4 @@
-"""Clean-up of page text and LaTeX as Column expressions; all stay within generated code."""
+"""Clean-up of page text and LaTeX as Column expressions; all but those of many literal replacements stay within generated code."""
 
 from __future__ import annotations
 
@@ -7,6 +7,7 @@ from functools import reduce
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def _col(c: Column | str) -> Column:
@@ -18,6 +19,23 @@ def let(value: Column, f) -> Column:
     return F.element_at(F.transform(F.array(value), f), 1)
 
 
+def mapped(f):
+    """A function of one text as a function of Columns, for rules that would each take a pass over the text; nulls stay.  Of a
+    batch only some rows at a time are strings of Python."""
+
+    @F.arrow_udf(T.StringType())
+    def run(x):
+        import pyarrow as pa
+
+        parts = [pa.array([None if (s := v.as_py()) is None else f(s) for v in x.slice(i, 64)], pa.string()) for i in range(0, len(x), 64)]
+        out = pa.concat_arrays(parts or [pa.array([], pa.string())])
+        del parts
+        pa.default_memory_pool().release_unused()  # workers live on
+        return out
+
+    return run
+
+
 def replace_all(c: Column | str, pairs: list[tuple[str, str]]) -> Column:
     """Literal replacements, one after the other."""
     return reduce(lambda x, p: F.replace(x, F.lit(p[0]), F.lit(p[1])), pairs, _col(c))
@@ -122,10 +140,14 @@ def subscript(c: Column | str) -> Column:
     return F.translate(_col(c), "0123456789", "₀₁₂₃₄₅₆₇₈₉")
 
 
+_MARKED, _UNMARKED = "àáâãäåçèéêëìíîïñòóôõöøùúûüýÿÀÁÂÃÄÅÇÈÉÊËÌÍÎÏÑÒÓÔÕÖØÙÚÛÜÝ’‘“”–—\u00a0", "aaaaaaceeeeiiiinoooooouuuuyyAAAAAACEEEEIIIINOOOOOOUUUUY''\"\"-- "
+_SPELLED = [("ß", "ss"), ("æ", "ae"), ("œ", "oe"), ("…", "...")]
+_PLAIN = dict(zip(_MARKED, _UNMARKED)) | dict(_SPELLED)
+
+
 def to_ascii(c: Column | str) -> Column:
     """Latin letters without their marks and typographic signs in ASCII; other non-ASCII characters go."""
-    marked, plain = "àáâãäåçèéêëìíîïñòóôõöøùúûüýÿÀÁÂÃÄÅÇÈÉÊËÌÍÎÏÑÒÓÔÕÖØÙÚÛÜÝ’‘“”–—\u00a0", "aaaaaaceeeeiiiinoooooouuuuyyAAAAAACEEEEIIIINOOOOOOUUUUY''\"\"-- "
-    return F.regexp_replace(replace_all(F.translate(_col(c), marked, plain), [("ß", "ss"), ("æ", "ae"), ("œ", "oe"), ("…", "...")]), r"[^\x00-\x7F]", "")
+    return F.regexp_replace(replace_all(F.translate(_col(c), _MARKED, _UNMARKED), _SPELLED), r"[^\x00-\x7F]", "")
 
 
 def next_punctuation(c: Column | str, start: Column | int = 0) -> Column:
@@ -183,16 +205,41 @@ UNICODE_TEX += [(m[0], f"\\{m[1]} ") for m in re.findall(r"([^\sa-zA-Z]) ?([a-zA
 UNICODE_TEX += list(zip("’‘“”–—−\u00a0\u2009\u202f", ["'", "'", '"', '"', "-", "-", "-", " ", " ", " "]))
 
 
+_BLANK = " \t\n\v\f\r"
+_BLANKS = re.compile(f"[{_BLANK}]{{2,}}")
+_COMMANDS = dict(UNICODE_TEX)
+
+
+def _found_replaced(s: str, table: dict[str, str]) -> str:
+    """Characters as the table says; those that the text doesn't have cost nothing."""
+    for c in set(s).intersection(table):
+        s = s.replace(c, table[c])
+    return s
+
+
+# no synonym makes another or shares a begin with one, so one pass does as much as one after the other
+_COMMAND, _SYNONYM = re.compile(r"\\(?:" + "|".join(re.escape(a[1:]) for a, _ in SYNONYMS) + ")"), dict(SYNONYMS)
+
+
+def _without_synonyms(s: str) -> str:
+    return _COMMAND.sub(lambda m: _SYNONYM[m[0]], s)
+
+
+def _unicode_as_latex(s: str) -> str:
+    s = _found_replaced(s.strip(_BLANK), _COMMANDS)
+    s = _BLANKS.sub(" ", s.replace("{", " ").replace("}", " ")).strip(_BLANK)
+    s = _without_synonyms(s)
+    return s if s.isascii() else _found_replaced(s, _PLAIN).encode("ascii", "ignore").decode()
+
+
 def unicode_to_latex(c: Column | str) -> Column:
     """Characters beyond ASCII as LaTeX commands; braces become blanks, blanks in a row one; letters lose their marks and
     what has no command goes."""
-    x = replace_all(strip(c), UNICODE_TEX)
-    x = strip(substitute(F.translate(x, "{}", "  "), (r"\s{2,}", " ")))
-    return to_ascii(latex_synonyms(x))
+    return mapped(_unicode_as_latex)(_col(c))
 
 
 def latex_synonyms(c: Column | str) -> Column:
-    return replace_all(c, SYNONYMS)
+    return let(_col(c), lambda x: F.when(F.contains(x, F.lit("\\")), replace_all(x, SYNONYMS)).otherwise(x))
 
 
 def remove_styles(c: Column | str) -> Column:
