@@ -251,12 +251,28 @@ def tex_one_line(c: Column | str) -> Column:
     return F.replace(substitute(c, (r"(?<!\\)%.*\n", "\n")), F.lit("\n"), F.lit(" "))
 
 
+_OPENING, _CLOSING, _COMMENT = re.compile(r"\A(?:\\\(|\\\[|\$\$|\$)"), re.compile(r"(?:\\\)|\\\]|\$\$|\$)\Z"), re.compile(r"(?<!\\)%[^\n]*\n")
+
+
+def _inline_tex(s: str) -> str:
+    s = _CLOSING.sub("", _OPENING.sub("", s.strip(_BLANK))).strip(_BLANK)
+    if not s:
+        return ""
+    s = _without_synonyms(_COMMENT.sub("\n", s).replace("\n", " "))
+    for style, _ in STYLES:
+        s = s.replace(style, "")
+    return f"\\({s}\\)"
+
+
 def normalise_tex(c: Column | str, inline: bool = True) -> Column:
     """One pair of delimiters off, comments, synonyms and styles normalised, delimiters of one kind on."""
-    x = strip(c)
-    x = strip(substitute(x, (r"^(?:\\\(|\\\[|\$\$|\$)", ""), (r"(?:\\\)|\\\]|\$\$|\$)\z", "")))
-    a, b = ("\\(", "\\)") if inline else ("\\[", "\\]")
-    return let(x, lambda x: F.when(x == "", "").otherwise(F.concat(F.lit(a), remove_styles(latex_synonyms(tex_one_line(x))), F.lit(b))))
+    x = mapped(_inline_tex)(_col(c))
+    return x if inline else displayed(x)
+
+
+def displayed(inline: Column) -> Column:
+    """Normalised inline TeX in display delimiters."""
+    return F.when(inline == "", "").otherwise(F.concat(F.lit("\\["), F.substr(inline, F.lit(3), F.length(inline) - 4), F.lit("\\]")))
 
 
 FIGURE = r"(?s)\[(FOOTNOTE|FIGURE|TABLE)([^\]]*+)\](.*?)\[END\1\]"

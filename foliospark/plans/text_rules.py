@@ -177,7 +177,8 @@ _NORMAL = replaced(replaced(f"replace({regexes('b', (r'(^|[^\\])%[^' + chr(92) +
 @query(rf"WITH m AS (SELECT doc_id, {_BARE} AS b FROM documents) SELECT doc_id, CASE WHEN b = '' THEN '' ELSE '\(' || {_NORMAL} || '\)' END AS inline, CASE WHEN b = '' THEN '' ELSE '\[' || {_NORMAL} || '\]' END AS display FROM m")
 def tex_normal_form(spark, sf_dir):
     t = text.replace_all(F.concat(F.lit("$$ "), F.col("text"), F.when(F.col("doc_id") % 2 == 0, "$").otherwise("\\]")), MATHS)
-    return table(spark, sf_dir, "documents").select("doc_id", text.normalise_tex(t).alias("inline"), text.normalise_tex(t, inline=False).alias("display"))
+    d = table(spark, sf_dir, "documents").select("doc_id", text.normalise_tex(t).alias("inline"))
+    return d.select("doc_id", "inline", text.displayed(F.col("inline")).alias("display"))
 
 
 _KINDS = {k: rf"(?s)\[{k}(.*?)\](.*?)\[END{k}\]" for k in ("FIGURE", "TABLE")}

@@ -39,3 +39,15 @@ def test_unicode_as_latex_has_few_passes_and_the_rules_results(spark):
 def test_synonyms_of_texts_with_and_without_commands(spark):
     rows = spark.createDataFrame([("\\ne x\\textmu",), ("ne x",), (None,)], "x string")
     assert [r.y for r in rows.select(text.latex_synonyms("x").alias("y")).collect()] == ["\\neq x\\mu", "ne x", None]
+
+
+def test_tex_is_normalised_once_for_both_forms(spark):
+    rng = random.Random(3)
+    parts = ["$", "$$", "\\(", "\\)", "\\[", "\\]", "%", "\\%", "\n", " ", "\t", "\\ne ", "\\displaystyle", "\\text", "style", "a", "é", "\x1c"]
+    samples = [made(rng, parts, rng.randrange(12)) for _ in range(300)] + [None]
+    rows = spark.createDataFrame(list(enumerate(samples)), "i int, x string")
+    x = text.strip(text.substitute(text.strip("x"), (r"^(?:\\\(|\\\[|\$\$|\$)", ""), (r"(?:\\\)|\\\]|\$\$|\$)\z", "")))
+    slow = lambda a, b: F.when(x == "", "").otherwise(F.concat(F.lit(a), text.remove_styles(text.replace_all(text.tex_one_line(x), text.SYNONYMS)), F.lit(b)))
+    got = rows.select(text.normalise_tex("x").alias("a"), text.normalise_tex("x", inline=False).alias("b"), slow("\\(", "\\)").alias("c"), slow("\\[", "\\]").alias("d")).collect()
+    assert all((r.a, r.b) == (r.c, r.d) for r in got)
+    assert plan(catalog.QUERIES["tex_normal_form"](spark, SF)).count("replace(") < 12
