@@ -51,3 +51,7 @@ def test_tex_is_normalised_once_for_both_forms(spark):
     got = rows.select(text.normalise_tex("x").alias("a"), text.normalise_tex("x", inline=False).alias("b"), slow("\\(", "\\)").alias("c"), slow("\\[", "\\]").alias("d")).collect()
     assert all((r.a, r.b) == (r.c, r.d) for r in got)
     assert plan(catalog.QUERIES["tex_normal_form"](spark, SF)).count("replace(") < 12
+
+
+def test_token_sets_are_made_once(spark):
+    assert plan(catalog.QUERIES["token_set_prf"](spark, SF)).count("regexp_extract_all(") == 2
