@@ -55,3 +55,25 @@ def test_tex_is_normalised_once_for_both_forms(spark):
 
 def test_token_sets_are_made_once(spark):
     assert plan(catalog.QUERIES["token_set_prf"](spark, SF)).count("regexp_extract_all(") == 2
+
+
+def edits(a, b):
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        old, row[0] = row[0], i
+        for j, y in enumerate(b, 1):
+            old, row[j] = row[j], min(old + (x != y), row[j] + 1, row[j - 1] + 1)
+    return row[-1]
+
+
+def test_edit_distance_by_bits(spark):
+    rng = random.Random(4)
+    pairs = [(made(rng, "abé😀"[: rng.randint(1, 4)], rng.randrange(90)), made(rng, "abcé😀", rng.randrange(90))) for _ in range(400)]
+    assert all(similarity.edit_distance(a, b) == edits(a, b) for a, b in pairs)
+    rows = spark.createDataFrame([*pairs[:50], (None, "abcd"), ("abcd", None)], "a string, b string")
+    got = rows.select(similarity.edit_distance_share(F.col("a"), F.col("b")).alias("x"), F.when(similarity.long_enough(F.col("a"), F.col("b")), F.levenshtein("a", "b") / F.greatest(F.length("a"), F.length("b"))).alias("y")).collect()
+    assert all(r.x == r.y for r in got) and got[-1].x is None
+    assert "ArrowEvalPython" in plan(catalog.QUERIES["doc_edit_similarity"](spark, SF))
+    began = time.perf_counter()
+    similarity.edit_distance(made(rng, "abcdef ", 120_000), made(rng, "abcdef ", 400))
+    assert time.perf_counter() - began < 2
