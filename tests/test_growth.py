@@ -77,3 +77,24 @@ def test_edit_distance_by_bits(spark):
     began = time.perf_counter()
     similarity.edit_distance(made(rng, "abcdef ", 120_000), made(rng, "abcdef ", 400))
     assert time.perf_counter() - began < 2
+
+
+def test_bleu_counts_only_what_the_truth_has():
+    rng = random.Random(5)
+    for _ in range(200):
+        a, b = ([rng.choice("abc") for _ in range(rng.randint(1, 12))] for _ in range(2))
+        assert similarity.bleu_score(a, b) == pytest.approx(slow_bleu(a, b))
+
+
+def slow_bleu(truth, pred):
+    from collections import Counter
+
+    score = 1.0
+    for n in range(1, 5):
+        have, want = (Counter(tuple(s[i : i + n]) for i in range(len(s) - n + 1)) for s in (pred, truth))
+        score *= sum((have & want).values()) / max(1, sum(have.values()))
+    return score**0.25 * min(1.0, np.exp(1 - len(truth) / len(pred))) if score else 0.0
+
+
+def test_modality_metrics_read_the_pairs_by_one_python_step(spark):
+    assert "ArrowEvalPython" in plan(catalog.QUERIES["modality_metrics"](spark, SF)) and plan(catalog.QUERIES["modality_metrics"](spark, SF)).count("EvalPython") == 1
