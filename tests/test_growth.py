@@ -98,3 +98,28 @@ def slow_bleu(truth, pred):
 
 def test_modality_metrics_read_the_pairs_by_one_python_step(spark):
     assert "ArrowEvalPython" in plan(catalog.QUERIES["modality_metrics"](spark, SF)) and plan(catalog.QUERIES["modality_metrics"](spark, SF)).count("EvalPython") == 1
+
+
+def slow_row(needle, hay, free):
+    ramp = np.arange(len(hay) + 1, dtype=np.int32)
+    row = np.zeros_like(ramp) if free else ramp.copy()
+    for i, c in enumerate(needle, 1):
+        new = np.empty_like(row)
+        new[0] = i
+        np.minimum(row[:-1] + (hay != c), row[1:] + 1, out=new[1:])
+        row = np.minimum.accumulate(new - ramp) + ramp
+    return row
+
+
+def test_border_search_rows():
+    rng = np.random.default_rng(6)
+    for _ in range(200):
+        x, y = rng.integers(0, 4, rng.integers(0, 20)).astype(np.uint32), rng.integers(0, 4, rng.integers(0, 70)).astype(np.uint32)
+        for free in (True, False):
+            assert (similarity._last_row(x, y, free) == slow_row(x, y, free)).all()
+    x, y, took = rng.integers(0, 30, 120), rng.integers(0, 30, 200_000), []
+    for f in (similarity._last_row, slow_row):
+        began = time.perf_counter()
+        f(x, y, True)
+        took.append(time.perf_counter() - began)
+    assert took[0] < took[1] / 2
