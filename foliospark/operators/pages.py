@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from foliospark.functions.text import mapped
+
 UNRESOLVED = r"\[(?:\?\?(?:. )?)+\]"
 HEADER_STOP = sorted(set("to a we of is in for and are fig. the figure this that".split()))  # blanks besides
 
@@ -100,12 +102,7 @@ def without_figure_spots(figures: DataFrame, key: str, least: float = 0.8) -> Da
 
 def with_callable(rows: DataFrame, column: str, f, out: str | None = None) -> DataFrame:
     """rows with a text column passed through a function of one text, in batches; nulls stay."""
-
-    @F.pandas_udf("string")
-    def run(x):
-        return x.map(lambda v: None if v is None else f(v))
-
-    return rows.withColumn(out or column, run(column))
+    return rows.withColumn(out or column, mapped(f)(F.col(column)))
 
 
 def to_pixels(points: Column, dpi: int = 96) -> Column:

@@ -123,3 +123,16 @@ def test_border_search_rows():
         f(x, y, True)
         took.append(time.perf_counter() - began)
     assert took[0] < took[1] / 2
+
+
+def test_callables_get_a_batch_in_parts(spark):
+    rows = spark.createDataFrame([(i, None if i % 9 == 0 else f"a\x00é{i}") for i in range(1000)], "i int, x string")
+    got = {r.i: r.x for r in pages.with_callable(rows, "x", lambda s: s[::-1]).collect()}
+    assert got == {i: None if i % 9 == 0 else f"a\x00é{i}"[::-1] for i in range(1000)}
+    assert pages.with_callable(rows.where("i < 0"), "x", lambda s: s).count() == 0
+    texts = pa.array(["x" * 10_000] * 2000)
+    tracemalloc.start()
+    out = text.mapped(lambda s: s[::-1]).func(texts)
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert len(out) == 2000 and most < 5e6  # of 20 MB of text
